@@ -50,3 +50,15 @@ def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table written by this module, on whatever file system it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Parquet options for rows of megabytes: pages and row groups are checked at every row, so a task
+#: holds a few rows at a time and not the hundred after which Parquet looks first.
+LARGE_ROWS = {
+    "parquet.block.size": 8 << 20,
+    "parquet.block.size.row.check.min": 1,
+    "parquet.block.size.row.check.max": 1,
+    "parquet.page.size.row.check.min": 1,
+    "parquet.page.size.row.check.max": 1,
+    "parquet.enable.dictionary": "false",
+}
