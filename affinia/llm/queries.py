@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from affinia.llm import chat, decontaminate, language_id, lm_scoring, sentencepiece_codec, sharding, simhash, token_files
+from affinia.llm import chat, decontaminate, language_id, lm_scoring, quality, sentencepiece_codec, sharding, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged by the thresholds of its language and source."""
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     """Queries by name."""
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
