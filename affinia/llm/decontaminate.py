@@ -48,8 +48,7 @@ def build_index(documents: DataFrame) -> DataFrame:
 
     made = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(segments, INDEX)
     path = storage.new_path(documents.sparkSession, "postings")
-    # Small row groups: a reader holds one at a time, and a segment is one row.
-    made.withColumn("segment", F.monotonically_increasing_id()).write.option("parquet.block.size", 16 << 20).parquet(path)
+    made.withColumn("segment", F.monotonically_increasing_id()).write.options(**storage.LARGE_ROWS).parquet(path)
     return documents.sparkSession.read.schema(INDEX).parquet(path)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text taken at a time; a longer text is taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 
 
@@ -49,14 +49,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for runs of rows of about limit bytes; a null has no bytes."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
     if not n:
         return
     _, raw, data = column.buffers()
-    offsets = np.frombuffer(raw, np.int64, n + 1 + column.offset)[column.offset :]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(raw, width, n + 1 + column.offset)[column.offset :].astype(np.int64)
     every = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
