@@ -109,7 +109,7 @@ def write(documents: DataFrame, tokenizer_file: str, end_id: int, path: str | No
             yield packed()
 
     ordered = documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(segments, SEGMENT).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    ordered.mapInArrow(segments, SEGMENT).write.options(compression="zstd", **storage.LARGE_ROWS).parquet(path)
     return path
 
 
