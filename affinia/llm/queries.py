@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from affinia.llm import chat, decontaminate, language_id, lm_scoring, quality, sentencepiece_codec, sharding, simhash, token_files
+from affinia.llm import chat, decontaminate, language_id, line_dedup, lm_scoring, quality, sentencepiece_codec, sharding, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 characters and more that five documents share, dropped from all but the last of these."""
+    return line_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded with the 32,000-piece model."""
     return sentencepiece_codec.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
