@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from affinia.llm import chat, decontaminate, language_id, line_dedup, lm_scoring, quality, sentencepiece_codec, sharding, simhash, token_files
+from affinia.llm import chat, decontaminate, language_id, line_dedup, lm_scoring, oracles, quality, sentencepiece_codec, sharding, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +70,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name, where SQL can express the operator."""
-    return {}
+    return oracles.oracle_sql()
