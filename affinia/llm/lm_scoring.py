@@ -24,7 +24,7 @@ CLASS_BITS, PAIR_BITS = 18, 20
 #: What each class has besides its count, and the weight of single words against pairs.
 ALPHA, PRIOR = 0.5, 8.0
 #: Tasks that count, for each core; each sends one partial model at most.
-TASKS_A_CORE = 8
+TASKS_A_CORE = 4
 
 
 def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,5 +115,6 @@ def cross_entropy_difference(documents: DataFrame, targets: DataFrame) -> DataFr
     time; without targets the target model is the smoothing alone.
     """
     marks = targets.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    joined = documents.select(F.col("doc_id").cast("long"), "text").join(marks, "doc_id", "left")
+    # The marks grow with the documents, so both sides are dealt out by doc_id at every size.
+    joined = documents.select(F.col("doc_id").cast("long"), "text").join(marks.hint("shuffle_hash"), "doc_id", "left")
     return score(documents, model(count(joined, F.col("target"))))
