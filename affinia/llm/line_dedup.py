@@ -40,12 +40,12 @@ def _hashes(bare: Column) -> Column:
 
 def line_keys(documents: DataFrame, min_chars: int) -> DataFrame:
     """doc_id and the distinct keys (h1, h2) of each row's lines."""
-    keys = F.array_distinct(F.filter(F.transform(_lines(), lambda x: key_hash(x, min_chars)), lambda k: k.isNotNull()))
+    keys = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), lambda x: key_hash(x, min_chars)), lambda k: k.isNotNull()))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(keys).alias("k")).select("doc_id", "k.h1", "k.h2")
 
 
-def _lines() -> Column:
-    return F.split(F.coalesce("text", F.lit("")), "\n", -1)
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 class Runs:
@@ -147,11 +147,13 @@ def deduplicate(documents: DataFrame, min_chars: int = 40, min_documents: int =
 
         return F.when(F.length(F.btrim(line, F.lit(SPACE))) < min_chars, True).otherwise(F.transform(F.array(key_hash(line, 0)), unlisted)[0])
 
+    # Rows travel as one column, so no name of theirs can meet a name of these steps.
     plain = documents.drop("n_lines", "n_dropped")
-    joined = plain.join(sets, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_from")), "left")
-    lines = joined.withColumn("lines", _lines()).withColumn("kept_lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
-    rest = lines.withColumns({"text": F.array_join("kept_lines", "\n"), "n_lines": F.size("lines").cast("long"), "n_dropped": (F.size("lines") - F.size("kept_lines")).cast("long")})
-    return rest.select(*plain.columns, "n_lines", "n_dropped")
+    whole = plain.select(F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("doc"))
+    joined = whole.join(sets, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("gone_from")), "left")
+    lines = joined.withColumn("lines", _lines(F.col("doc.text"))).withColumn("kept_lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
+    columns = [F.array_join("kept_lines", "\n").alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in plain.columns]
+    return lines.select(*columns, F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept_lines")).cast("long").alias("n_dropped"))
 
 
 def digests(documents: DataFrame) -> DataFrame:

@@ -58,6 +58,8 @@ def _walked(number: Column, n: int, height: int, width: int, key: int, steps: in
 
 def place(spark: SparkSession, number: Column, n: int, key: int = KEY) -> Column:
     """The shuffled place, from 0 to n - 1, of row ``number`` among n rows; needs no table."""
+    if not n:
+        return number
     width = max(1, math.isqrt(max(0, n - 1)) + 1)
     height = max(1, -(-n // width))
     return _walked(number, n, height, width, walking_key(spark, n, height, width, key), STEPS)

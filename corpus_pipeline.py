@@ -16,6 +16,8 @@ from affinia.llm import decontaminate, language_id, line_dedup, sentencepiece_co
 
 #: Below this score a text's language is taken as unknown.
 LEAST_SCORE = 0.3
+#: Columns for a prediction that no table of documents has.
+JUDGED = ("pipeline_lang_pred", "pipeline_lang_score")
 
 #: No SQL can express the network of the first stage; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
@@ -24,9 +26,8 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network knows; those without letters, and those it can't place, go."""
     network = language_id.fit(docs.filter(language_id.fold() != 2))
-    judged = language_id.predict(docs.withColumnRenamed("score", "own_score"), network)
-    known = judged.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return known.drop("lang_pred", "score").withColumnRenamed("own_score", "score").select(*docs.columns)
+    judged = language_id.predict(docs, network, JUDGED)
+    return judged.filter((F.col(JUDGED[0]) != language_id.UNDETERMINED) & (F.col(JUDGED[1]) >= LEAST_SCORE)).drop(*JUDGED)
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
