@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinia import storage
+from affinia.llm.memory import map_batches
 
 #: Strings that tokenizers treat as control tokens; fixed values. A turn is OPEN role \n text CLOSE.
 CONTROL = ("<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -82,7 +83,7 @@ def pack(conversations: DataFrame) -> DataFrame:
     """The packs (columns PACK) of all conversations, one row each, from a table like assemble() gives."""
     path = F.transform("turns", lambda t: F.xxhash64(t.role, t.text))  # only orders; turns are compared themselves
     ordered = conversations.withColumn("path", path).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
-    return ordered.select("conv_id", "turns").mapInArrow(_packs, PACK)
+    return map_batches(ordered.select("conv_id", "turns"), _packs, PACK)
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,4 +173,4 @@ def formatted_digests(conversations: DataFrame) -> DataFrame:
     loss_sha256 (the learned texts, unescaped, joined), formatted_chars. Without rows there are none.
     """
     packs = storage.materialize(pack(assemble(conversations)), "packs")
-    return packs.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_batches(packs, _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from affinia import storage
 from affinia.llm import words
+from affinia.llm.memory import map_batches
 
 #: Words of test items that are sent to the executors at once (about 100 bytes each).
 BLOCK_WORDS = 200_000
@@ -46,7 +47,7 @@ def build_index(documents: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(first, last - first).to_pylist()
                 yield pa.RecordBatch.from_pylist([{"segment": 0, "doc_ids": ids, "n_words": np.diff(before).tolist(), "terms": terms.tobytes(), "counts": counts.tobytes(), "positions": positions.tobytes()}], schema)
 
-    made = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(segments, INDEX)
+    made = map_batches(documents.select(F.col("doc_id").cast("long"), "text"), segments, INDEX)
     path = storage.new_path(documents.sparkSession, "postings")
     made.withColumn("segment", F.monotonically_increasing_id()).write.options(**storage.LARGE_ROWS).parquet(path)
     return documents.sparkSession.read.schema(INDEX).parquet(path)
@@ -105,9 +106,9 @@ def _block(names: list[str], rows: list[np.ndarray], item: list[int], n: int) ->
     return Block(names, terms, windows, np.array(item, np.int32))
 
 
-def search(block: Block, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of every match in a segment."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def search(block: Block, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, before: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, text, start) of every match in a segment; before: the first place of each text, and one past the last."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(terms):
         return none
     at = np.minimum(np.searchsorted(terms, block.terms), len(terms) - 1)
@@ -120,10 +121,10 @@ def search(block: Block, terms: np.ndarray, counts: np.ndarray, positions: np.nd
     by_rarity = np.argsort(often[alive], axis=1, kind="stable")
     rarest = np.take_along_axis(block.windows[alive], by_rarity, axis=1)
     begin = np.cumsum(counts, dtype=np.int64) - counts
-    span = int(positions.max()) + 1 + 2 * slop + block.windows.shape[1]
+    span = int(before[-1]) + block.windows.shape[1]
     keys = np.repeat(np.arange(len(terms), dtype=np.int64), counts) * span + positions
     load = np.cumsum(number[rarest[:, 0]])
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     low = 0
     while low < len(alive):
         high = max(low + 1, int(np.searchsorted(load, (load[low - 1] if low else 0) + STEP, "right")))
@@ -131,20 +132,28 @@ def search(block: Block, terms: np.ndarray, counts: np.ndarray, positions: np.nd
         size = number[seed]
         which = np.repeat(np.arange(low, high), size)
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        start = positions[np.repeat(begin[at[seed]], size) + inner].astype(np.int64) - by_rarity[which, 0]
-        keep = start >= (-slop if slop else 0)
-        which, start = which[keep], start[keep]
+        place = positions[np.repeat(begin[at[seed]], size) + inner].astype(np.int64)
+        text = np.searchsorted(before, place, "right") - 1
+        start = place - by_rarity[which, 0]
+        if slop:  # the rarest word, too, may be off its place
+            start = (start[:, None] + np.arange(-slop, slop + 1)).reshape(-1)
+            which, text = np.repeat(which, 2 * slop + 1), np.repeat(text, 2 * slop + 1)
+        keep = start >= before[text] - slop
+        which, text, start = which[keep], text[keep], start[keep]
         for k in range(1, rarest.shape[1]):
             term = rarest[which, k]
-            needed = term >= 0
-            # The first posting of this term from the earliest place on must not lie after the latest.
-            aim = at[np.maximum(term, 0)] * span + np.maximum(start + by_rarity[which, k], 0)
-            near = keys[np.minimum(np.searchsorted(keys, aim - np.minimum(slop, aim % span)), len(keys) - 1)]
-            keep = ~needed | ((near >= aim - slop) & (near <= aim + slop) & (near // span == aim // span))
-            which, start = which[keep], start[keep]
-        out.append((alive[which], start))
+            aim = start + by_rarity[which, k]
+            # The first posting of this term from the earliest place on, in this text, must not lie past the latest.
+            row = at[np.maximum(term, 0)] * span
+            earliest, latest = np.maximum(aim - slop, before[text]), np.minimum(aim + slop, before[text + 1] - 1)
+            near = keys[np.minimum(np.searchsorted(keys, row + earliest), len(keys) - 1)] - row
+            keep = (term < 0) | ((near >= earliest) & (near <= latest))
+            which, text, start = which[keep], text[keep], start[keep]
+        if slop:  # a repeated word can give a start more than once
+            which, text, start = np.unique(np.stack([which, text, start]), axis=1)
+        out.append((alive[which], text, start))
         low = high
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
 def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -153,19 +162,26 @@ def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _matches(block: Block, row: dict, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each match in a segment: item, first and last-plus-one word, counted over the segment with its gaps."""
-    window, start = search(block, np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["positions"], np.uint32), slop)
+def _first_places(row: dict) -> np.ndarray:
+    """The first place of each text of a segment, one free place after each, and one past the last."""
+    return np.concatenate([[0], np.cumsum(np.array(row["n_words"], np.int64) + 1)])
+
+
+def _matches(block: Block, row: dict, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each match in a segment: item, text, first and last-plus-one place."""
+    postings_of = (np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["positions"], np.uint32))
+    window, text, start = search(block, *postings_of, _first_places(row), slop)
     length = (block.windows[window] >= 0).sum(axis=1)
-    return block.item[window], start, start + length
+    return block.item[window], text, start, start + length
 
 
 def find(index: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0) -> DataFrame:
     """Documents' matches: doc_id, item_id, and the first and last word (from 0) of each occurrence of a window.
 
-    slop 0 finds exact phrases; a larger one also finds each word up to so many places off its own.
+    slop 0 finds exact phrases; a larger one finds every start from which each word lies within slop
+    places of its own, in the same text.
     """
-    parts = [index.mapInArrow(_finder(index.sparkSession.sparkContext.broadcast(block), slop), "doc_id long, item_id string, first long, last long") for block in blocks(benchmark, n)]
+    parts = [map_batches(index, _finder(index.sparkSession.sparkContext.broadcast(block), slop), "doc_id long, item_id string, first long, last long") for block in blocks(benchmark, n)]
     if not parts:
         return index.sparkSession.createDataFrame([], "doc_id long, item_id string, first long, last long")
     out = parts[0]
@@ -178,15 +194,14 @@ def _finder(block, slop: int):
     def rows(batches):
         for batch in batches:
             for row in _one_by_one(batch):
-                item, start, end = _matches(block.value, row, slop)
-                before = np.concatenate([[0], np.cumsum(np.array(row["n_words"], np.int64) + 1)])
-                doc = np.searchsorted(before, np.maximum(start, 0), "right") - 1
+                item, doc, start, end = _matches(block.value, row, slop)
+                before = _first_places(row)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array([row["doc_ids"][d] for d in doc.tolist()], pa.int64()),
                         "item_id": pa.array([block.value.items[i] for i in item.tolist()], pa.string()),
-                        "first": pa.array(start - before[doc], pa.int64()),
-                        "last": pa.array(end - before[doc] - 1, pa.int64()),
+                        "first": pa.array(np.maximum(start - before[doc], 0), pa.int64()),
+                        "last": pa.array(np.minimum(end, before[doc + 1] - 1) - before[doc] - 1, pa.int64()),
                     }
                 )
 
@@ -204,12 +219,11 @@ def _marks(block, first: bool):
         for batch in batches:
             for row in _one_by_one(batch):
                 count = np.array(row["n_words"], np.int64)
-                before = np.concatenate([[0], np.cumsum(count + 1)])
+                before = _first_places(row)
                 runs: dict[int, list[int]] = {}
                 items: dict[int, set[str]] = {}
                 if block is not None:
-                    item, start, end = _matches(block.value, row, 0)
-                    doc = np.searchsorted(before, start, "right") - 1
+                    item, doc, start, end = _matches(block.value, row, 0)
                     change = np.zeros(int(before[-1]) + 1, np.int32)
                     np.add.at(change, start, 1)
                     np.add.at(change, end, -1)
@@ -259,9 +273,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
     that repeat a doc_id, or a text, are judged each by itself; an empty benchmark hits nothing.
     """
     index, context = build_index(documents), documents.sparkSession.sparkContext
-    parts = [index.mapInArrow(_marks(context.broadcast(block), k == 0), "segment long, k int, doc_id long, n_words long, runs array<long>, items array<string>") for k, block in enumerate(blocks(benchmark, n))]
+    parts = [map_batches(index, _marks(context.broadcast(block), k == 0), "segment long, k int, doc_id long, n_words long, runs array<long>, items array<string>") for k, block in enumerate(blocks(benchmark, n))]
     if not parts:
-        parts = [index.mapInArrow(_marks(None, True), "segment long, k int, doc_id long, n_words long, runs array<long>, items array<string>")]
+        parts = [map_batches(index, _marks(None, True), "segment long, k int, doc_id long, n_words long, runs array<long>, items array<string>")]
     if len(parts) == 1:
         marks = parts[0].select("doc_id", "n_words", F.array("runs").alias("runs"), F.array("items").alias("items"))
     else:
@@ -269,4 +283,4 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
         for part in parts[1:]:
             every = every.unionAll(part)
         marks = every.groupBy("segment", "k").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
-    return marks.mapInArrow(_summed, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_batches(marks, _summed, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinia.llm.memory import map_batches
+
 #: Bytes in a window, and windows computed at a time.
 WINDOW, BATCH = 192, 256
 #: Filter widths, filters of each, size of a byte's embedding, and places between two applications of a filter.
@@ -178,11 +180,11 @@ def fit(labelled: DataFrame) -> Network | None:
     return train(windows_of(texts)[0], np.array(labels), languages)
 
 
-def predict(documents: DataFrame, network: Network | None) -> DataFrame:
-    """Adds lang_pred and score (0 to 1) to all rows, from the whole of each text.
+def predict(documents: DataFrame, network: Network | None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the predicted language and its score (0 to 1) to all rows, from the whole of each text.
 
     A text without a letter, and a null one, is ``und`` with score 0, as is every text without a network.
-    Columns already called lang_pred or score are replaced; no other column than text is looked at.
+    Columns already called as ``into`` says are replaced; no other column than text is looked at.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +202,11 @@ def predict(documents: DataFrame, network: Network | None) -> DataFrame:
                 for k, row in zip(some, mean, strict=True):
                     best[k] = network.languages[int(row.argmax())]
                     score[k] = min(1.0, float(row.max()))
-            keep = [c for c in batch.schema.names if c not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            keep = [c for c in batch.schema.names if c not in into]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best, pa.string()), pa.array(score, pa.float64())], [*keep, *into])
 
-    plain = documents.drop("lang_pred", "score")
-    return plain.mapInArrow(rows, plain.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    plain = documents.drop(*into)
+    return map_batches(plain, rows, plain.withColumns({into[0]: F.lit(""), into[1]: F.lit(0.0)}).schema)
 
 
 def held_out_predictions(documents: DataFrame) -> DataFrame:

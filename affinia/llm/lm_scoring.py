@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinia.llm import words
+from affinia.llm.memory import map_batches
 
 #: log2 of the vocabulary's classes and of the cells for pairs.
 CLASS_BITS, PAIR_BITS = 18, 20
@@ -64,7 +65,7 @@ def count(documents: DataFrame, is_target: Column) -> DataFrame:
 
     rows = documents.select("text", F.coalesce(is_target, F.lit(False)).alias("marked"))
     few = rows.coalesce(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
-    return few.mapInArrow(partial, "cell long, target long, background long").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return map_batches(few, partial, "cell long, target long, background long").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
 def model(counts: DataFrame) -> np.ndarray:
@@ -105,7 +106,7 @@ def score(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                 columns = [pa.array(x, pa.float64(), from_pandas=True) for x in (mean[0], mean[1], mean[0] - mean[1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(number, pa.int64()), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(documents: DataFrame, targets: DataFrame) -> DataFrame:

@@ -25,12 +25,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinia.llm.memory import map_batches
+
 MARK = "▁"
 UNKNOWN = -1
 #: Runs remembered by each worker, and the longest run that is remembered.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 48
 #: Compatible and incompatible pairs remembered by each worker.
-REMEMBERED_PAIRS = 400_000
+REMEMBERED_PAIRS = 250_000
 
 
 class PrefixTable:
@@ -60,8 +62,9 @@ class PrefixTable:
             if self.merged(piece) == [piece]:
                 self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        self.known: dict[str, tuple[str, int, str]] = {}
-        self.known_before: dict[str, tuple[str, int, str]] = {}
+        #: Ids of runs as joined digits; only of runs that decode to themselves.
+        self.known: dict[str, str] = {}
+        self.known_before: dict[str, str] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: best score first, leftmost first among equals."""
@@ -154,12 +157,20 @@ class PrefixTable:
             out.append(self.said[i])
         return "".join(out) + _utf8(bytes(held))
 
-    def run(self, text: str) -> tuple[str, int, str]:
-        """A run's ids as joined digits, their number, and the text they decode to with its leading space."""
+    def forget(self) -> None:
+        """Drops the runs that are remembered: a worker that goes on to other work doesn't keep them."""
+        self.known, self.known_before = {}, {}
+
+    def run(self, text: str, others: dict[str, str]) -> str:
+        """A run's ids as joined digits; into others goes what its ids decode to, if that isn't the run."""
         found = self.known_before.get(text)
         if found is None:
             ids = self.encode_run(text)
-            found = ",".join([self.digits[i] for i in ids]), len(ids), self._decode_inner(ids)
+            found = ",".join([self.digits[i] for i in ids])
+            decoded = self._decode_inner(ids)
+            if decoded != text.replace(MARK, " "):
+                others[text] = decoded
+                return found
         if len(text) <= REMEMBERED_CHARS:
             if len(self.known) >= REMEMBERED:  # runs used since the last turn stay for another one
                 self.known, self.known_before = {}, self.known
@@ -168,11 +179,11 @@ class PrefixTable:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
-        known, run = self.known.get, self.run
-        runs = [known(x) or run(x) for x in self.split(text)]
-        joined = ",".join([x[0] for x in runs])
-        decoded = "".join([x[2] for x in runs])[1:]
-        return sum([x[1] for x in runs]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        known, run, others = self.known.get, self.run, {}
+        runs = self.split(text)
+        joined = ",".join([known(x) or run(x, others) for x in runs])
+        decoded = "".join([others.get(x, x) for x in runs] if others else runs).replace(MARK, " ")[1:]
+        return joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def _utf8(data: bytes) -> str:
@@ -210,7 +221,7 @@ def encode_documents(df: DataFrame, model_file: str, text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], [*keep, "ids"])
 
     schema = df.drop("ids").withColumn("ids", F.array().cast("array<int>")).schema
-    return df.mapInArrow(encoded, schema)
+    return map_batches(df, encoded, schema)
 
 
 def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", into: str = "text") -> DataFrame:
@@ -223,7 +234,7 @@ def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", into: str = "te
             keep = [c for c in batch.schema.names if c != into]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], [*keep, into])
 
-    return df.mapInArrow(decoded, df.drop(into).withColumn(into, F.lit("")).schema)
+    return map_batches(df, decoded, df.drop(into).withColumn(into, F.lit("")).schema)
 
 
 def round_trip_digests(df: DataFrame, model_file: str) -> DataFrame:
@@ -241,5 +252,6 @@ def round_trip_digests(df: DataFrame, model_file: str) -> DataFrame:
                 [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        codec.forget()
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(df.select(F.col("doc_id").cast("long"), "text"), digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from affinia import storage
 from affinia.llm.components import connected_components
+from affinia.llm.memory import map_batches
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 #: Widths of the blocks from the lowest bit up; DISTANCE + 2 blocks, so two are equal for linked fingerprints.
@@ -62,7 +63,7 @@ def fingerprints(documents: DataFrame, words: int = SHINGLE) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py(), words) for x in batch.column(1)], pa.int64())], ["doc_id", "fingerprint"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, fingerprint long")
+    return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, fingerprint long")
 
 
 def gray_rank(column):
@@ -202,7 +203,7 @@ def near_duplicates(documents: DataFrame, words: int = SHINGLE) -> DataFrame:
     prints = storage.materialize(fingerprints(documents, words), "fingerprints")
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     sorted_buckets = _buckets(prints.select("fingerprint").distinct()).repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("fingerprint")))
-    links = storage.materialize(sorted_buckets.mapInArrow(_links, "a long, b long").distinct(), "links")
+    links = storage.materialize(map_batches(sorted_buckets, _links, "a long, b long").distinct(), "links")
     labels = connected_components(links)
     grouped = distinct.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     named = grouped.filter(F.col("component") != F.col("fingerprint")).groupBy("component").agg(F.min("least").alias("others"))

@@ -23,6 +23,7 @@ from tokenizers import Tokenizer
 
 from affinia import storage
 from affinia.llm import simple8b
+from affinia.llm.memory import map_batches
 
 #: Ids after which a segment ends with the current document.
 SEGMENT_IDS = 1 << 20
@@ -109,7 +110,7 @@ def write(documents: DataFrame, tokenizer_file: str, end_id: int, path: str | No
             yield packed()
 
     ordered = documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(segments, SEGMENT).write.options(compression="zstd", **storage.LARGE_ROWS).parquet(path)
+    map_batches(ordered, segments, SEGMENT).write.options(compression="zstd", **storage.LARGE_ROWS).parquet(path)
     return path
 
 
@@ -137,7 +138,7 @@ def read(spark, path: str, each, fields: str) -> DataFrame:
     # A row for each file, so as many as tasks wrote: its size does not follow the documents.
     totals = files.select("file", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("file").agg(F.sum("n").alias("n"))
     before = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    return files.mapInArrow(rows, schema).join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", *names)
+    return map_batches(files, rows, schema).join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", *names)
 
 
 def checksums(documents: DataFrame, tokenizer_file: str, end_id: int = 2) -> DataFrame:
