@@ -18,17 +18,13 @@ TRUTH = _strings("source1_entity_id", "matched_entity_ids")
 CANDIDATE = _strings("source1_entity_id", "target_entity_id")
 TRAINING_PAIR = _strings("entity_id", "business_name", "business_address", "country", "target_source", "target_entity_id", "target_business_name", "target_business_address", "target_country", "label", "matched_block")
 SPLIT = _strings("entity_id")
-_CORRUPT = "_corrupt_record"
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType, tolerant: bool = False) -> DataFrame:
     """All columns as text, as written: no value counts as missing. tolerant: malformed rows are kept out, else they fail."""
-    if not tolerant:
-        rows = spark.read.schema(schema).csv(path, sep="\t", header=True, mode="FAILFAST", nullValue="\u0000", emptyValue="")
-        return rows.fillna("")
-    wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    rows = spark.read.schema(wide).csv(path, sep="\t", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, nullValue="\u0000", emptyValue="")
-    return rows.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT).fillna("")
+    # Without column pruning a row is judged by all of its columns, whichever are asked for.
+    mode = "DROPMALFORMED" if tolerant else "FAILFAST"
+    return spark.read.schema(schema).option("columnPruning", False).csv(path, sep="\t", header=True, mode=mode, nullValue="\u0000", emptyValue="").fillna("")
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
@@ -66,7 +62,7 @@ def without_ids(df: DataFrame, ids: DataFrame, column: str = "entity_id") -> Dat
 
 def truth_pairs(truth: DataFrame) -> DataFrame:
     """Distinct (source1_entity_id, target_entity_id) from comma-separated lists; an empty list has none."""
-    ids = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("matched_entity_ids", F.lit("")), ","), F.trim), lambda x: x != ""))
+    ids = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("matched_entity_ids", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
     return truth.select("source1_entity_id", F.explode(ids).alias("target_entity_id")).distinct()
 
 
