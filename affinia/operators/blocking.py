@@ -157,3 +157,14 @@ def similarity_category(name: Column, address: Column, version: int = 3) -> Colu
     low_address = address < (60 if version == 2 else 80)
     high, low = name >= (80 if version == 2 else 85), name < 60
     return F.when(high & (address >= 80), "high_name_high_address").when(high & low_address, "high_name_low_address").when(low & (address >= 80), "low_name_high_address").when(low & (address < 60), "low_name_low_address").otherwise("mixed_similarity")
+
+
+def recovered_misses(previous: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: earlier misses, how many of them the candidates now hold, and their share."""
+    found = previous.join(candidates.select("source1_entity_id", "target_entity_id").withColumn("hit", F.lit(1)), ["source1_entity_id", "target_entity_id"], "left")
+    return found.agg(F.count("*").alias("missed"), F.coalesce(F.sum("hit"), F.lit(0)).alias("recovered")).withColumn("share", F.when(F.col("missed") > 0, F.col("recovered") / F.col("missed")).otherwise(1.0))
+
+
+def high_confidence(name: Column, address: Column, version: int = 3) -> Column:
+    """Whether a missed pair is surely true by the similarity of its names or addresses."""
+    return (name >= (80 if version == 2 else 85)) | (address >= 90)

@@ -195,3 +195,17 @@ def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> bool:
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """A left join that keeps the rows of left as they are: right must hold each key once at most."""
     return left.join(assert_unique(right, keys), keys, "left")
+
+
+def matched_records(truth: DataFrame, records: DataFrame) -> DataFrame:
+    """True pairs with both records' columns (s1_..., t_...); pairs that lack a record drop out."""
+    a = records.select([F.col(c).alias("s1_" + c) for c in records.columns])
+    b = records.select([F.col(c).alias("t_" + c) for c in records.columns])
+    return truth.join(a, truth["source1_entity_id"] == a["s1_entity_id"]).join(b, truth["target_entity_id"] == b["t_entity_id"])
+
+
+def zone_summary(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Negatives in each danger zone, by columns such as the country, with the mean and median of 0.6 name + 0.4 address."""
+    mean = F.col("name_sim") * 0.6 + F.col("address_sim") * 0.4
+    zones = [F.count_if(c).alias(k) for k, c in danger_zones().items()]
+    return scored.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(mean), 2).alias("mean"), F.round(F.median(mean), 2).alias("median"), *zones)

@@ -268,6 +268,38 @@ def base_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.base_features(some, e)
 
 
+def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Close candidates with name_sim and address_sim."""
+    rows = _close(R.entity_view(spark, sf_dir))
+    name, address = similarity.ratios(F.col("a_name"), F.col("b_name"), ("ratio",)), similarity.ratios(F.col("a_address"), F.col("b_address"), ("token_set_ratio",))
+    return rows.withColumns({"n": name, "a": address}).select(*PAIR, F.col("n.ratio").alias("name_sim"), F.col("a.token_set_ratio").alias("address_sim"))
+
+
+def similarity_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Close candidates by class of similarity, with those that are surely true."""
+    name, address = F.col("name_sim"), F.col("address_sim")
+    return _similar(spark, sf_dir).groupBy(blocking.similarity_category(name, address).alias("category")).agg(F.count("*").alias("n"), F.count_if(blocking.high_confidence(name, address)).alias("sure"))
+
+
+def hard_negative_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Untrue close candidates in each danger zone, by country."""
+    e = R.entity_view(spark, sf_dir)
+    rows = _similar(spark, sf_dir).join(_truth(e), PAIR, "left_anti").join(e.select(F.col("entity_id").alias("source1_entity_id"), "country"), "source1_entity_id")
+    return pairs.zone_summary(rows, ["country"])
+
+
+def targeted_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 50 untrue close candidates of each category by lot, each pair once."""
+    rows = _similar(spark, sf_dir).join(_truth(R.entity_view(spark, sf_dir)), PAIR, "left_anti")
+    return pairs.targeted_negatives(rows, 50).select(*PAIR, "category")
+
+
+def random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three targets of source 2 and two of source 3 by lot for each record."""
+    e = R.entity_view(spark, sf_dir)
+    return pairs.random_negatives(e.filter("source = 1"), e.filter("source > 1"), _truth(e), {2: 3, 3: 2}).select(*PAIR, _long("source").alias("source"))
+
+
 def macro_f05_at_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro F0.5 of the candidates with a score of at least 0.65."""
     e = R.entity_view(spark, sf_dir)
@@ -359,7 +391,7 @@ def queries() -> dict:
         "norm_name_doc", "legal_suffix_split", "ocr_name_fix", "token_stats_hist", "script_class_doc", "address_number_keys_pages", "address_first_keys_doc", "blocking_or_join", "blocking_and_join",
         "blocking_intersections", "blocking_variant_report", "first_word_block_negatives", "candidate_recall_by_entity", "candidate_ceiling", "missed_pairs_grouping_sets", "semi_join_sampled",
         "anti_join_negatives", "left_join_one_to_one", "topn_hard_negatives", "training_pairs", "hash_sample_split", "sample_by_group", "dedup_category_priority", "oversample_x3", "indel_ratio_pairs",
-        "token_sort_ratio_pairs", "token_set_ratio_pairs", "wratio_pairs", "char_ngram_cosine", "address_sets_jaccard", "length_token_features", "blocking_evidence_features", "base_features",
+        "token_sort_ratio_pairs", "token_set_ratio_pairs", "wratio_pairs", "char_ngram_cosine", "address_sets_jaccard", "length_token_features", "blocking_evidence_features", "base_features", "similarity_categories", "hard_negative_zones", "targeted_negatives", "random_negatives",
         "macro_f05_at_t", "threshold_topk_search", "error_entity_summary", "micro_pr", "confusion_by_blocks", "describe_percentiles", "group_mean_median", "gt_match_distribution",
         "missing_value_profile", "value_counts_pct", "union_tagged", "intersect_except_ids",
     ]

@@ -216,3 +216,21 @@ def test_empty_inputs(spark, entities, truth):
     assert linkage.candidates(none).count() == 0
     assert evaluate.entity_scores(none.select("entity_id"), truth.limit(0), truth.limit(0)).count() == 0
     assert pairs.top_negatives(pairs.labelled(linkage.candidates(none), truth), 3).count() == 0
+
+
+def test_misses_and_autopsy(spark, entities, truth):
+    found = linkage.candidates(entities)
+    assert tuple(blocking.recovered_misses(truth, found).first()) == (truth.count(), truth.count(), 1.0)
+    assert tuple(blocking.recovered_misses(truth.limit(0), found).first()) == (0, 0, 1.0)
+    assert not blocking.missed_pairs(found, truth).count()
+    scored = pairs.labelled(found, truth).withColumn("score", F.col("n_blocks") / 4).select(*PAIR, "label", "score", "n_blocks")
+    rows, summary = evaluate.autopsy(scored, entities, 0.5, ["n_blocks", "score"])
+    assert {r.outcome for r in rows.collect()} <= {"FP", "FN"} and rows.count() == evaluate.outcomes(scored, 0.5).filter("outcome in ('FP', 'FN')").count()
+    assert {(r.outcome, r.feature) for r in summary.collect()} == {("FP", "n_blocks"), ("FP", "score")}
+    assert evaluate.errors_by(scored, 0.5, "n_blocks").agg(F.sum("n")).first()[0] == rows.count()
+
+
+def test_whole_run(entities, truth):
+    rule, result = linkage.linked(entities, truth, config=linkage.Config("ALL_V2", negatives=3))
+    best, row = rule.first(), result.first()
+    assert 0.55 <= best.threshold <= 0.85 and row.entities > 0 and 0 <= row.macro_f05 <= 1
