@@ -32,6 +32,8 @@ DISTANCE, SHINGLE, SEED = 3, 3, 42
 BLOCKS = (13, 13, 13, 13, 12)
 #: Children of a node of the index, and pairs of nodes compared in one step.
 FANOUT, STEP = 8, 1_000_000
+#: Rows of buckets indexed together.
+GATHERED = 1 << 16
 #: Shingles hashed before their bits are counted.
 COUNTED = 1 << 16
 
@@ -169,14 +171,18 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within the buckets of a partition, which is sorted by bucket and Gray rank: at most one a member."""
-    held_bucket, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
-        bucket = np.concatenate([held_bucket, batch.column(0).to_numpy(zero_copy_only=False)])
-        prints = np.concatenate([held, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        cut = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0  # the last bucket may go on in the next batch
-        yield _linked(bucket[:cut], prints[:cut])
-        held_bucket, held = bucket[cut:], prints[cut:]
-    yield _linked(held_bucket, held)
+        parts.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
+        size += batch.num_rows
+        if size >= GATHERED:
+            bucket, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+            yield _linked(bucket[:cut], prints[:cut])
+            parts, size = [(bucket[cut:], prints[cut:])], 0
+    if parts:
+        yield _linked(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def _linked(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
