@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Targets in a bucket of random negatives, and parts of a group that is sampled.
+BUCKET, PARTS = 64, 64
 PAIR = ["source1_entity_id", "target_entity_id"]
 
 
@@ -35,23 +37,27 @@ def training_pairs(candidates: DataFrame, truth: DataFrame, negatives: int = 20)
     return positives.unionByName(top_negatives(pairs, negatives).withColumn("kind", F.lit("hard_negative")))
 
 
+def _drawn(*columns: Column | str, seed: int) -> Column:
+    """A lot as a whole number."""
+    return F.conv(F.substring(lot(*columns, seed=seed), 1, 15), 16, 10).cast("long")
+
+
 def random_negatives(source1: DataFrame, targets: DataFrame, truth: DataFrame, take: dict[int, int], seed: int = SEED) -> DataFrame:
     """For each source1 record, take[source] targets of each source by lot, true pairs left out.
 
-    Targets of a source are dealt to numbered places by lot; a record's own lot says where it starts,
-    and it takes the next places. So no record is compared with all targets.
+    Targets are dealt to buckets of about BUCKET by lot. A record's own lot names two neighbouring buckets,
+    and it takes from these: no record is compared with all targets, and no source is sorted as a whole.
     """
     counts = {r["source"]: r["n"] for r in targets.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    # More places than asked for, as true pairs drop out; a record has few of them.
-    spare = 4
-    placed = targets.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(lot("entity_id", seed=seed), "entity_id")) - 1).select("source", "place", F.col("entity_id").alias("target_entity_id"))
-    asked = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(n).alias("n"), F.lit(counts.get(s, 0)).cast("long").alias("size")) for s, n in take.items()]))
-    want = source1.select(F.col("entity_id").alias("source1_entity_id"), asked.alias("a")).select("source1_entity_id", "a.*").filter("size > 0")
-    start = F.pmod(F.conv(F.substring(lot("source1_entity_id", F.col("source").cast("string"), seed=seed), 1, 15), 16, 10).cast("long"), F.col("size"))
-    steps = want.withColumn("start", start).withColumn("step", F.explode(F.sequence(F.lit(0), F.least(F.col("n") * spare, F.col("size").cast("int")) - 1)))
-    drawn = steps.withColumn("place", (F.col("start") + F.col("step")) % F.col("size")).join(placed, ["source", "place"]).join(truth, PAIR, "left_anti")
-    rank = F.row_number().over(Window.partitionBy("source1_entity_id", "source").orderBy("step"))
-    return drawn.withColumn("rank", rank).filter(F.col("rank") <= F.col("n")).select(*PAIR, "source")
+    kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(n).alias("n"), F.lit(max(1, counts.get(s, 0) // BUCKET)).cast("long").alias("buckets")) for s, n in take.items()]))
+    want = source1.select(F.col("entity_id").alias("source1_entity_id"), kinds.alias("k")).select("source1_entity_id", "k.*")
+    first = F.pmod(_drawn("source1_entity_id", F.col("source").cast("string"), seed=seed), F.col("buckets"))
+    asked = want.withColumn("first", first).select("source1_entity_id", "source", "n", F.explode(F.array_distinct(F.array("first", (F.col("first") + 1) % F.col("buckets")))).alias("bucket"))
+    number = F.coalesce(*[F.when(F.col("source") == s, F.lit(max(1, counts.get(s, 0) // BUCKET))) for s in take], F.lit(1)).cast("long")
+    dealt = targets.select("source", F.pmod(_drawn("entity_id", seed=seed), number).alias("bucket"), F.col("entity_id").alias("target_entity_id"))
+    met = asked.join(dealt, ["source", "bucket"]).join(truth, PAIR, "left_anti")
+    rank = F.row_number().over(Window.partitionBy("source1_entity_id", "source").orderBy(lot(*PAIR, seed=seed), "target_entity_id"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= F.col("n")).select(*PAIR, "source")
 
 
 def sample(df: DataFrame, n: int, key: str = "entity_id", seed: int = SEED) -> DataFrame:
@@ -60,9 +66,10 @@ def sample(df: DataFrame, n: int, key: str = "entity_id", seed: int = SEED) -> D
 
 
 def sample_by_group(df: DataFrame, n: int, group: list[str], key: list[str], seed: int = SEED) -> DataFrame:
-    """n rows by lot of each group."""
-    order = Window.partitionBy(*group).orderBy(lot(*key, seed=seed), *key)
-    return df.withColumn("lot_rank", F.row_number().over(order)).filter(F.col("lot_rank") <= n).drop("lot_rank")
+    """n rows by lot of each group: first of each of its parts, so that no group has to be sorted as a whole."""
+    rank, part = F.row_number(), F.pmod(F.xxhash64(*key), F.lit(PARTS))
+    few = df.withColumn("lot_part", part).withColumn("lot_rank", rank.over(Window.partitionBy(*group, "lot_part").orderBy(lot(*key, seed=seed), *key))).filter(F.col("lot_rank") <= n)
+    return few.withColumn("lot_rank", rank.over(Window.partitionBy(*group).orderBy(lot(*key, seed=seed), *key))).filter(F.col("lot_rank") <= n).drop("lot_rank", "lot_part")
 
 
 def split_entities(entities: DataFrame, holdout: int, dev: int, seed: int = 2026) -> DataFrame:
@@ -84,9 +91,8 @@ def split_by_share(entities: DataFrame, test_percent: int = 20, seed: int = SEED
 
 
 def stratified_split(pairs: DataFrame, test_percent: int = 20, seed: int = SEED) -> DataFrame:
-    """Rows split within each label by lot; an entity may be on both sides."""
-    share = F.percent_rank().over(Window.partitionBy("label").orderBy(lot(*PAIR, seed=seed)))
-    return pairs.withColumn("split", F.when(share * 100 < test_percent, "test").otherwise("train"))
+    """Rows split by lot, about the same share of each label; an entity may be on both sides."""
+    return pairs.withColumn("split", F.when(F.pmod(_drawn(*PAIR, seed=seed), F.lit(100)) < test_percent, "test").otherwise("train"))
 
 
 def first_category(pairs: DataFrame, priority: list[str]) -> DataFrame:

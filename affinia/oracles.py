@@ -191,9 +191,11 @@ def oracle_sql() -> dict[str, str]:
     out["length_token_features"] = close + "SELECT source1_entity_id, target_entity_id, abs(length(x) - length(y)) AS length_diff, round(CASE WHEN length(x) = 0 OR length(y) = 0 THEN 0.0 ELSE least(length(x), length(y)) / greatest(length(x), length(y)) END, 6) AS length_ratio, abs(len(string_split(x, ' ')) - len(string_split(y, ' '))) AS token_count_diff FROM close"
     flags = {b: f"CAST(list_contains(blocks, '{b}') AS BIGINT)" for b in ("name_first", "name_prefix2", "address_number", "address_first")}
     out["blocking_evidence_features"] = _with(ENT, candidates("ALL_V4")) + f"SELECT source1_entity_id AS entity_id, target_entity_id, n_blocks AS v4_shared_key_count, {flags['name_first']} + {flags['name_prefix2']} AS v4_shared_name_key_count, {flags['address_number']} + {flags['address_first']} AS v4_shared_address_key_count, " + ", ".join(f"{f} AS v4_{b}_match" for b, f in flags.items()) + " FROM cand"
-    out["random_negatives"] = _with(ENT, TRUTH, "placed AS (SELECT source, entity_id, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || entity_id), entity_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS size FROM ent WHERE source > 1)",
-        "want AS (SELECT e.entity_id AS s1, v.source, v.n, z.size, CAST('0x' || substr(md5('42|' || e.entity_id || '|' || v.source), 1, 15) AS BIGINT) % z.size AS start FROM ent e, (VALUES (2, 3), (3, 2)) v(source, n) JOIN (SELECT DISTINCT source, size FROM placed) z ON z.source = v.source WHERE e.source = 1)",
-        "drawn AS (SELECT s1, w.source, n, step, entity_id AS t FROM (SELECT *, unnest(range(0, least(n * 4, size))) AS step FROM want) w JOIN placed p ON p.source = w.source AND p.place = (w.start + w.step) % w.size WHERE NOT EXISTS (SELECT 1 FROM truth x WHERE x.source1_entity_id = s1 AND x.target_entity_id = p.entity_id))") + "SELECT s1 AS source1_entity_id, t AS target_entity_id, CAST(source AS BIGINT) AS source FROM (SELECT *, row_number() OVER (PARTITION BY s1, source ORDER BY step) AS r FROM drawn) WHERE r <= n"
+    drawn = "CAST('0x' || substr(md5('42|' || {}), 1, 15) AS BIGINT)"
+    out["random_negatives"] = _with(ENT, TRUTH, "z AS (SELECT source, CASE source WHEN 2 THEN 3 ELSE 2 END AS n, greatest(1, count(*) // 64) AS buckets FROM ent WHERE source > 1 GROUP BY 1)",
+        f"dealt AS (SELECT e.source, entity_id, {drawn.format('entity_id')} % buckets AS bucket FROM ent e JOIN z ON z.source = e.source)",
+        f"want AS (SELECT e.entity_id AS s1, z.*, {drawn.format("e.entity_id || '|' || z.source")} % buckets AS first FROM ent e, z WHERE e.source = 1)",
+        "met AS (SELECT s1, w.source, n, entity_id AS t FROM want w JOIN dealt d ON d.source = w.source AND (d.bucket = first OR d.bucket = (first + 1) % buckets) WHERE NOT EXISTS (SELECT 1 FROM truth x WHERE x.source1_entity_id = s1 AND x.target_entity_id = entity_id))") + "SELECT s1 AS source1_entity_id, t AS target_entity_id, CAST(source AS BIGINT) AS source FROM (SELECT *, row_number() OVER (PARTITION BY s1, source ORDER BY md5('42|' || s1 || '|' || t), t) AS r FROM met) WHERE r <= n"
     judged = (ENT, TRUTH, candidates("ALL_V2"), SCORED)
     at = _with(*judged, counts("SELECT source1_entity_id, target_entity_id FROM scored WHERE score >= 0.65"))
     out["macro_f05_at_t"] = at + f"SELECT round(avg({_F05}), 6) AS macro_f05, count(*) AS entities, round(avg(predicted_count), 6) AS avg_predictions FROM per"
