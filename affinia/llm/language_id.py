@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from affinia.llm.memory import map_batches
 
-#: Bytes in a window, and windows computed at a time.
-WINDOW, BATCH = 192, 256
+#: Bytes in a window, windows computed at a time, and texts taken together.
+WINDOW, BATCH, TOGETHER = 192, 256, 64
 #: Filter widths, filters of each, size of a byte's embedding, and places between two applications of a filter.
 WIDTHS, FILTERS, EMBEDDING, STRIDE = (2, 3, 4, 5), 16, 8, 2
 #: The bound of the training sample: rows a language, languages, and pieces of PIECE characters taken from all over a row's text.
@@ -191,17 +191,18 @@ def predict(documents: DataFrame, network: Network | None, into: tuple[str, str]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = [x.as_py() or "" for x in batch.column("text")]
-            known = [k for k, t in enumerate(texts) if network is not None and _LETTER.search(t)]
-            best: list[str] = [UNDETERMINED] * len(texts)
-            score = np.zeros(len(texts))
-            for at in range(0, len(known), 64):
-                some = known[at : at + 64]
+            best: list[str] = [UNDETERMINED] * batch.num_rows
+            score = np.zeros(batch.num_rows)
+            for at in range(0, batch.num_rows if network is not None else 0, TOGETHER):
+                texts = [x.as_py() or "" for x in batch.column("text").slice(at, TOGETHER)]
+                some = [k for k, t in enumerate(texts) if _LETTER.search(t)]
+                if not some:
+                    continue
                 windows, number = windows_of([texts[k].encode() for k in some])
                 mean = np.add.reduceat(network.probabilities(windows).astype(np.float64), np.cumsum(number) - number) / number[:, None]
                 for k, row in zip(some, mean, strict=True):
-                    best[k] = network.languages[int(row.argmax())]
-                    score[k] = min(1.0, float(row.max()))
+                    best[at + k] = network.languages[int(row.argmax())]
+                    score[at + k] = min(1.0, float(row.max()))
             keep = [c for c in batch.schema.names if c not in into]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best, pa.string()), pa.array(score, pa.float64())], [*keep, *into])
 
