@@ -1,121 +1,179 @@
 """Documents scored by the cross-entropy difference of two n-gram models (Moore and Lewis, 2010).
 
 Target and background models are matched: the same vocabulary, the same order, the same smoothing,
-and counts from whole texts. The vocabulary is a fixed number of classes into which words fall by
-their hash, and word pairs fall into a fixed number of cells, so a model has the same size whatever
-the corpus. Background counts come from all documents, target counts from the documents marked as such.
-A document's score is the mean over its words of (target loss - background loss) in nats: the lower,
-the more it resembles the target.
+and counts from whole texts. Words and pairs of words are counted one by one, under 64-bit hashes, so
+the models grow with the corpus. Background counts come from all documents, target counts from the
+documents marked as such. A document's score is the mean over its words of (target loss - background
+loss) in nats: the lower, the more it resembles the target.
+
+No task holds a model. Documents are dealt out to chunks, and hashes to ranges, in numbers that follow
+the bytes of text. A chunk sends each range the hashes it has there, each once, with their counts; the
+range adds up what all chunks sent and answers each chunk with the sums, in the order of its question.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinia.llm import words
-from affinia.llm.memory import map_batches
+from affinia.llm.memory import release
 
-#: log2 of the vocabulary's classes and of the cells for pairs.
+#: log2 of the least vocabulary that smoothing reckons with (more if the corpus has more words), and of
+#: the pairs that a chunk has in ordinary text.
 CLASS_BITS, PAIR_BITS = 18, 20
-#: What each class has besides its count, and the weight of single words against pairs.
+#: What each word has besides its count, and the weight of single words against pairs.
 ALPHA, PRIOR = 0.5, 8.0
-#: Tasks that count, for each core; each sends one partial model at most.
-TASKS_A_CORE = 4
-
-
-def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each word, class of the word before it (one past the last at a text's start), cell of the pair, words before each text."""
-    found, before = words.hashes(data, offsets)
-    word = (found >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
-    previous = np.concatenate([[1 << CLASS_BITS], word[:-1]])[: len(word)]
-    first = before[:-1][np.diff(before) > 0]
-    previous[first] = 1 << CLASS_BITS
-    pair = (words.mixed(previous.astype(np.uint64) << np.uint64(CLASS_BITS) | word.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return word, previous, pair, before
-
-
-def count(documents: DataFrame, is_target: Column) -> DataFrame:
-    """Counts of both models from all texts: cell (classes, the start of texts, then pairs), target, background.
-
-    Partial counts are made where texts are read, in a number of tasks that follows the cores and not
-    the texts, so what is shuffled has a bound of cores times the size of a model.
-    """
-    classes = (1 << CLASS_BITS) + 1
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, classes + (1 << PAIR_BITS)), np.int64)
-        for batch in batches:
-            marked = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for begin, end, data, offsets in words.slices(batch.column(0)):
-                word, _, pair, before = _cells(data, offsets)
-                target = np.repeat(marked[begin:end], np.diff(before))
-                number = np.diff(before) > 0
-                for k, mask in ((0, target), (1, slice(None))):
-                    sums[k, : classes - 1] += np.bincount(word[mask], minlength=classes - 1)
-                    sums[k, classes:] += np.bincount(pair[mask], minlength=1 << PAIR_BITS)
-                sums[0, classes - 1] += (number & marked[begin:end]).sum()
-                sums[1, classes - 1] += number.sum()
-        cell = np.flatnonzero(sums[1])
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[0, cell]), pa.array(sums[1, cell])], ["cell", "target", "background"])
-
-    rows = documents.select("text", F.coalesce(is_target, F.lit(False)).alias("marked"))
-    few = rows.coalesce(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
-    return map_batches(few, partial, "cell long, target long, background long").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def model(counts: DataFrame) -> np.ndarray:
-    """Counts as an array of two rows (target, background) of fixed length: about 10 MB."""
-    out = np.zeros((2, (1 << CLASS_BITS) + 1 + (1 << PAIR_BITS)), np.float32)
-    table = counts.select("cell", "target", "background").toArrow()
-    out[0, table["cell"].to_numpy()] = table["target"].to_numpy()
-    out[1, table["cell"].to_numpy()] = table["background"].to_numpy()
-    return out
-
-
-def losses(counts: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Summed target and background losses of each text (2 rows), and numbers of words."""
-    classes = (1 << CLASS_BITS) + 1
-    word, previous, pair, before = _cells(data, offsets)
-    number = np.diff(before)
-    out = np.zeros((2, len(number)))
+#: Bytes of text in a chunk: a pair takes about eight.
+CHUNK_BYTES = 8 << PAIR_BITS
+#: Stands for the word before the first.
+START = np.uint64(0)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _grams(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, of the word before it (START at a text's start) and of the pair; words of each text."""
+    found, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in texts.chunks:
+        for _, _, data, offsets in words.slices(part):
+            word, before = words.hashes(data, offsets)
+            found.append(np.maximum(word, np.uint64(1)))
+            numbers.append(np.diff(before))
+    word, number = np.concatenate(found), np.concatenate(numbers)
+    previous = np.concatenate([[START], word[:-1]])[: len(word)]
+    previous[(np.cumsum(number) - number)[number > 0]] = START
+    with np.errstate(over="ignore"):
+        pair = words.mixed(previous * _STEP + word)
+    return word, previous, pair, number
+
+
+def _counted(hashes: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and how often each occurs where marked and anywhere (2 rows)."""
+    keys, everywhere = np.unique(hashes, return_counts=True)
+    some, there = np.unique(hashes[marked], return_counts=True)
+    counts = np.zeros((2, len(keys)), np.int64)
+    counts[0, np.searchsorted(keys, some)] = there
+    counts[1] = everywhere
+    return keys, counts
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts with their lowest bytes first, then all next bytes, as far as the greatest needs: zeros compress."""
+    width = max(1, (int(counts.max(initial=0)).bit_length() + 7) // 8)
+    return counts.astype("<u8").reshape(-1, 1).view(np.uint8)[:, :width].T.tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    """Two rows of n counts."""
+    planes = np.zeros((2 * n, 8), np.uint8)
+    if n:
+        planes[:, : len(data) // (2 * n)] = np.frombuffer(data, np.uint8).reshape(-1, 2 * n).T
+    return planes.view("<u8").astype(np.int64).reshape(2, n)
+
+
+def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of hashes begins in sorted keys, and their number."""
+    at = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
+
+
+def _asker(ranges: int):
+    def ask(key: tuple, documents: pa.Table, targets: pa.Table) -> pa.Table:
+        rows = []
+        if len(documents):
+            word, _, pair, number = _grams(documents["text"])
+            id_ = documents["doc_id"]
+            marked = np.isin(id_.fill_null(0).to_numpy(), targets["doc_id"].to_numpy()) & id_.is_valid().to_numpy()
+            each = np.repeat(marked, number)
+            (one, n_one), (two, n_two) = _counted(word, each), _counted(pair, each)
+            starts = [[(marked & (number > 0)).sum()], [(number > 0).sum()]]
+            one, n_one = np.concatenate([[START], one]), np.concatenate([starts, n_one], axis=1)
+            cut_one, cut_two = _cuts(one, ranges), _cuts(two, ranges)
+            for r in range(ranges):
+                a, b = slice(*cut_one[r : r + 2]), slice(*cut_two[r : r + 2])
+                rows.append((key[0].as_py(), r, one[a].tobytes(), _packed(n_one[:, a]), two[b].tobytes(), _packed(n_two[:, b])))
+        out = pa.Table.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate([pa.int64()] * 2 + [pa.binary()] * 4)], ["chunk", "range", "words", "n_words", "pairs", "n_pairs"])
+        release()
+        return out
+
+    return ask
+
+
+def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Distinct hashes of all chunks, their counts, and the counts in the order of each chunk."""
+    each = [np.frombuffer(k, np.uint64) for k in keys]
+    found, at = np.unique(np.concatenate(each), return_inverse=True)
+    n = np.concatenate([_unpacked(c, len(k)) for c, k in zip(counts, each, strict=True)], axis=1)
+    totals = np.stack([np.bincount(at, n[k], len(found)).astype(np.int64) for k in range(2)])
+    ends = np.cumsum([len(k) for k in each])
+    return found, totals, [_packed(totals[:, at[end - len(k) : end]]) for k, end in zip(each, ends, strict=True)]
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Sums for each chunk that asked, with this range's distinct words and their counts in both models."""
+    found, totals, of_words = _summed(asked["words"].to_pylist(), asked["n_words"].to_pylist())
+    _, _, of_pairs = _summed(asked["pairs"].to_pylist(), asked["n_pairs"].to_pylist())
+    real = found != START
+    sizes = [int(real.sum()), *(int(x) for x in totals[:, real].sum(axis=1))]
+    columns = [asked["chunk"], asked["range"], pa.array(of_words, pa.binary()), pa.array(of_pairs, pa.binary()), *(pa.array([x] * len(asked), pa.int64()) for x in sizes)]
+    release()
+    return pa.Table.from_arrays(columns, ["chunk", "range", "n_words", "n_pairs", "vocabulary", "target", "background"])
+
+
+def losses(word: np.ndarray, previous: np.ndarray, pair: np.ndarray, number: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """Summed target and background losses of each text (2 rows)."""
+    answers = answers.sort_by("range")
+    ranges = len(answers)
+    one = np.concatenate([[START], np.unique(word)])
+    two, first, at = np.unique(pair, return_index=True, return_inverse=True)
+
+    def counts(keys: np.ndarray, column: str) -> np.ndarray:
+        return np.concatenate([_unpacked(data, n) for data, n in zip(answers[column].to_pylist(), np.diff(_cuts(keys, ranges)), strict=True)], axis=1)
+
+    single, both = counts(one, "n_words"), counts(two, "n_pairs")
+    size = max(1 << CLASS_BITS, sum(answers["vocabulary"].to_pylist()))
+    # A loss for each distinct pair, from the words of its first occurrence.
+    last, before = np.searchsorted(one, word[first]), np.searchsorted(one, previous[first])
     text = np.repeat(np.arange(len(number)), number)
-    for k in range(2):
-        total = counts[k, : classes - 1].sum(dtype=np.float64)
-        alone = (counts[k, word] + ALPHA) / (total + ALPHA * (classes - 1))
-        # Texts that share a cell by chance could make a pair more frequent than its first word.
-        both = np.minimum(counts[k, classes + pair], counts[k, previous])
-        out[k] = np.bincount(text, -np.log((both + PRIOR * alone) / (counts[k, previous] + PRIOR)), len(number))
-    return out, number
-
-
-def score(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (means by word) and score, their difference; null without words."""
-    shared = documents.sparkSession.sparkContext.broadcast(counts)
+    out = np.zeros((2, len(number)))
+    for k, column in enumerate(("target", "background")):
+        total = sum(answers[column].to_pylist())
+        alone = (single[k, last] + ALPHA) / (total + ALPHA * size)
+        loss = -np.log((both[k] + PRIOR * alone) / (single[k, before] + PRIOR))
+        out[k] = np.bincount(text, loss[at], len(number))
+    return out
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, end, data, offsets in words.slices(batch.column(1)):
-                sums, number = losses(shared.value, data, offsets)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mean = sums / number
-                columns = [pa.array(x, pa.float64(), from_pandas=True) for x in (mean[0], mean[1], mean[0] - mean[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(number, pa.int64()), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+def _score(documents: pa.Table, answers: pa.Table) -> pa.Table:
+    word, previous, pair, number = _grams(documents["text"])
+    sums = losses(word, previous, pair, number, answers) if len(documents) else np.zeros((2, 0))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = sums / number
+    columns = [pa.array(x, pa.float64(), from_pandas=True) for x in (mean[0], mean[1], mean[0] - mean[1])]
+    out = pa.Table.from_arrays([documents["doc_id"], pa.array(number, pa.int64()), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+    release()
+    return out
 
 
 def cross_entropy_difference(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """Scores every row of documents against a target corpus: those documents whose doc_id is in targets.
 
-    A null text has no words, and null losses; a null doc_id is never a target; repeated rows count each
-    time; without targets the target model is the smoothing alone.
+    doc_id, n_tokens, target_loss, background_loss (means by word) and score, their difference. A null
+    text has no words, and null losses; a null doc_id is never a target; repeated rows count each time;
+    without targets the target model is the smoothing alone.
     """
-    marks = targets.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    # The marks grow with the documents, so both sides are dealt out by doc_id at every size.
-    joined = documents.select(F.col("doc_id").cast("long"), "text").join(marks.hint("shuffle_hash"), "doc_id", "left")
-    return score(documents, model(count(joined, F.col("target"))))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    doc_id = F.col("doc_id").cast("long")
+
+    def dealt(key):
+        return F.pmod(F.xxhash64(key), F.lit(chunks).cast("long")).alias("chunk")
+
+    # Rows without a doc_id are no targets, and may go to any chunk.
+    rows = documents.select(dealt(F.coalesce(doc_id, F.xxhash64("text"))), doc_id.alias("doc_id"), "text").groupBy("chunk")
+    marks = targets.filter(doc_id.isNotNull()).select(dealt(doc_id), doc_id.alias("doc_id")).distinct().groupBy("chunk")
+    asked = rows.cogroup(marks).applyInArrow(_asker(chunks), "chunk long, range long, words binary, n_words binary, pairs binary, n_pairs binary")
+    answers = asked.groupBy("range").applyInArrow(_answer, "chunk long, range long, n_words binary, n_pairs binary, vocabulary long, target long, background long")
+    return rows.cogroup(answers.groupBy("chunk")).applyInArrow(_score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

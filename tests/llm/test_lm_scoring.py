@@ -1,5 +1,7 @@
 import math
 import re
+from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -61,3 +63,21 @@ def test_empty_tables(spark):
     docs, none = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long")
     assert lm_scoring.cross_entropy_difference(docs, none).count() == 1
     assert lm_scoring.cross_entropy_difference(docs.limit(0), none).collect() == []
+
+
+def test_words_and_pairs_are_counted_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 1 << 18, raising=False)
+    draw = np.random.default_rng(1).integers(0, 1_000_000, (80, 5000))
+    split = [[f"w{x}" for x in row] for row in draw] + [["w1", "w2", "w1", "w2"]]
+    chosen = set(range(0, 80, 7)) | {80}
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(split)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(table, spark.createDataFrame([(i,) for i in chosen], "doc_id long")).collect()}
+    size = max(1 << 18, len({x for w in split for x in w}))
+    assert size > 1 << 18
+    for column, of in (("target_loss", chosen), ("background_loss", range(81))):
+        one, two = Counter(x for i in of for x in ["", *split[i]]), Counter(p for i in of for p in pairwise(["", *split[i]]))
+        total = sum(one.values()) - one[""]
+        for i, w in enumerate(split):
+            p = [(two[a, b] + 8 * (one[b] + 0.5) / (total + 0.5 * size)) / (one[a] + 8) for a, b in pairwise(["", *w])]
+            assert got[i][column] == pytest.approx(-sum(map(math.log, p)) / len(w), rel=1e-9)
+    assert len(got) == len(split)
