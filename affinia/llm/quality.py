@@ -19,11 +19,14 @@ from affinia import storage
 #: Rows from which a group's sketch is used, and how many times its spread above the high or below the
 #: low quantile a value is an outlier.
 MIN_ROWS, ABOVE, BELOW = 200, 8, 2
-#: The quantiles, in percent, that span the usual values.
-LOW, MIDDLE, HIGH = 10, 50, 90
+#: The quantiles, in percent, that span the usual values; up to 100 - HIGH percent of a group may be bad
+#: before its upper thresholds rise.
+LOW, MIDDLE, HIGH = 10, 50, 75
 #: Measures: symbols and repeated lines and words in 1000 words (judged from above), and characters in
-#: 100 words (judged from both sides); the slack is a spread that any group is granted.
-MEASURES = {"symbols": 20, "lines": 20, "repeats": 50, "length": 60}
+#: 100 words (judged from both sides); the slack is a spread that any group is granted. In a group whose
+#: usual value is 0, 240 repeated words pass, fewer than by the base rule, and 32 repeated lines: fewer
+#: than there are in a text whose lines have up to seven words and come twice.
+MEASURES = {"symbols": 20, "lines": 4, "repeats": 30, "length": 60}
 SPACE = " \t\n\x0b\f\r"
 #: Characters that count as symbols; a fixed value.
 SYMBOLS = "#*$%&|<>"

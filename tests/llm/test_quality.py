@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -62,3 +63,27 @@ def test_empty_table_and_native_plan(spark):
     out = quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string"))
     assert out.collect() == []
     assert not re.search("Python|Pandas|MapInArrow", out._jdf.queryExecution().toString())
+
+
+def test_each_measure_alone_rejects(spark):
+    draw = random.Random(1)
+    fresh = lambda n: [draw.choice("bcdfg") + str(draw.randrange(1000, 10_000)) for _ in range(n)]
+    lines, run = [" ".join(fresh(7)) for _ in range(20)], fresh(13)
+    repeated = " ".join([*run, *fresh(74), *run])
+    planted = {
+        "symbols": " ".join(fresh(100)) + " " + "#" * 20 + " ##",
+        "lines": "\n".join([*lines, *lines[::-1]]),
+        "repeats": repeated,
+        "length": " ".join(w * 4 for w in fresh(100)),
+    }
+    rows = [(i, " ".join(fresh(100)), "en", "s") for i in range(300)] + [(1000 + i, t, "en", "s") for i, t in enumerate(planted.values())]
+    # A source with 15 % of bad rows.
+    rows += [(2000 + i, repeated if i % 20 < 3 else " ".join(fresh(100)), "en", "hot") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = quality.thresholds(quality.sketches(quality.measures(docs))).filter("source = 's'").first()
+    numbers = quality.measures(docs).select("doc_id", *[v.alias(k) for k, v in quality._numbers().items()])
+    for r in numbers.filter("doc_id between 1000 and 1003").collect():
+        assert [m for m in quality.MEASURES if not limits[f"{m}_lower"] <= r[m] <= limits[f"{m}_upper"]] == [list(planted)[r.doc_id - 1000]]
+    judged = quality.judge(docs).collect()
+    assert not any(r.base_failed for r in judged)
+    assert {r.doc_id for r in judged if not r.kept} == {1000 + i for i in range(4)} | {2000 + i for i in range(300) if i % 20 < 3}
