@@ -44,14 +44,19 @@ def _scored(entities: DataFrame) -> DataFrame:
     return _candidates(entities, "ALL_V2").withColumn("score", (F.col("n_blocks") + part) / F.lit(5.0)).select(*PAIR, "n_blocks", "score")
 
 
-def _close(entities: DataFrame) -> DataFrame:
-    """Candidates with two shared keys or more, with both names and addresses."""
-    some = linkage.candidates(entities, linkage.Config("ALL_V2", min_blocks=2))
+def _named(entities: DataFrame, min_blocks: int = 1) -> DataFrame:
+    """Candidates with both names and addresses."""
+    some = linkage.candidates(entities, linkage.Config("ALL_V2", min_blocks=min_blocks))
     a = entities.select(F.col("entity_id").alias("source1_entity_id"), F.col("business_name").alias("a_name"), F.col("business_address").alias("a_address"))
     b = entities.select(F.col("entity_id").alias("target_entity_id"), F.col("business_name").alias("b_name"), F.col("business_address").alias("b_address"))
     return some.select(*PAIR).join(a, "source1_entity_id").join(b, "target_entity_id")
 
 
+def _close(entities: DataFrame) -> DataFrame:
+    """Candidates with two shared keys or more: those that the SQL of the queries of one measure takes."""
+    return _named(entities, 2)
+
+
 def _long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
@@ -209,48 +214,65 @@ def oversample_x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.oversampled(pairs.labelled(blocking_and_join(spark, sf_dir), _truth(e)), F.col("label") == 1).select(*PAIR, _long("label").alias("label"), _long("copy").alias("copy"))
 
 
-def _ratio_pairs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = _close(R.entity_view(spark, sf_dir))
+def _ratio_pairs(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("r", similarity.ratios(F.col("a_name"), F.col("b_name"), (name,))).select(*PAIR, F.round(f"r.{name}", 6).alias(name))
 
 
 def indel_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratio of both names, for candidates with two shared keys."""
-    return _ratio_pairs(spark, sf_dir, "ratio")
+    return _ratio_pairs(_close(R.entity_view(spark, sf_dir)), "ratio")
 
 
 def token_sort_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratio of the names' sorted words."""
-    return _ratio_pairs(spark, sf_dir, "token_sort_ratio")
+    return _ratio_pairs(_close(R.entity_view(spark, sf_dir)), "token_sort_ratio")
 
 
 def token_set_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratio of the names' sets of words."""
-    return _ratio_pairs(spark, sf_dir, "token_set_ratio")
+    return _ratio_pairs(_close(R.entity_view(spark, sf_dir)), "token_set_ratio")
 
 
 def wratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weighted ratio of both names."""
-    return _ratio_pairs(spark, sf_dir, "wratio")
+    """The weighted ratio of both names, for all candidates."""
+    return _ratio_pairs(_named(R.entity_view(spark, sf_dir)), "wratio")
+
+
+def _cosines() -> list[Column]:
+    return [F.round(similarity.char_ngram_cosine(F.col("a_name"), F.col("b_name"), n), 6).alias(f"cosine_{n}") for n in (3, 4, 5)]
+
+
+def _address_sets() -> list[Column]:
+    a, b = A.parts(F.col("a_address")), A.parts(F.col("b_address"))
+    return [F.round(similarity.jaccard(a, b), 6).alias("jaccard"), F.round(similarity.overlap(a, b), 6).alias("overlap"), similarity.same_set(a, b).alias("same")]
+
+
+def _lengths() -> list[Column]:
+    a, b = F.col("a_name"), F.col("b_name")
+    ratio = F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b)))
+    return [_long(F.abs(F.length(a) - F.length(b))).alias("length_diff"), F.round(ratio, 6).alias("length_ratio"), _long(F.abs(X.token_count(a) - X.token_count(b))).alias("token_count_diff")]
 
 
 def char_ngram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosines of the names' character 3-, 4- and 5-grams."""
-    rows = _close(R.entity_view(spark, sf_dir))
-    return rows.select(*PAIR, *[F.round(similarity.char_ngram_cosine(F.col("a_name"), F.col("b_name"), n), 6).alias(f"cosine_{n}") for n in (3, 4, 5)])
+    return _close(R.entity_view(spark, sf_dir)).select(*PAIR, *_cosines())
 
 
 def address_sets_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set similarities of the words of both addresses."""
-    a, b = A.parts(F.col("a_address")), A.parts(F.col("b_address"))
-    return _close(R.entity_view(spark, sf_dir)).select(*PAIR, F.round(similarity.jaccard(a, b), 6).alias("jaccard"), F.round(similarity.overlap(a, b), 6).alias("overlap"), similarity.same_set(a, b).alias("same"))
+    return _close(R.entity_view(spark, sf_dir)).select(*PAIR, *_address_sets())
 
 
 def length_token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences in length and number of words of both names."""
-    a, b = F.col("a_name"), F.col("b_name")
-    ratio = F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b)))
-    return _close(R.entity_view(spark, sf_dir)).select(*PAIR, _long(F.abs(F.length(a) - F.length(b))).alias("length_diff"), F.round(ratio, 6).alias("length_ratio"), _long(F.abs(X.token_count(a) - X.token_count(b))).alias("token_count_diff"))
+    return _close(R.entity_view(spark, sf_dir)).select(*PAIR, *_lengths())
+
+
+def all_pair_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratios, cosines, set similarities and differences of the six queries above, for all candidates."""
+    names = ("ratio", "token_sort_ratio", "token_set_ratio")
+    rows = _named(R.entity_view(spark, sf_dir)).withColumn("r", similarity.ratios(F.col("a_name"), F.col("b_name"), names))
+    return rows.select(*PAIR, *[F.round(f"r.{n}", 6).alias(n) for n in names], *_cosines(), *_address_sets(), *_lengths())
 
 
 def blocking_evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,34 +284,34 @@ def blocking_evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 39 features of all candidates with two shared keys."""
+    """The 39 features of all candidates."""
     e = R.entity_view(spark, sf_dir)
-    some = linkage.candidates(e, linkage.Config("ALL_V2", min_blocks=2)).select(F.col("source1_entity_id").alias("entity_id"), "target_entity_id")
+    some = linkage.candidates(e, linkage.Config("ALL_V2")).select(F.col("source1_entity_id").alias("entity_id"), "target_entity_id")
     return features.base_features(some, e)
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Close candidates with name_sim and address_sim."""
-    rows = _close(R.entity_view(spark, sf_dir))
+    """Candidates with name_sim and address_sim."""
+    rows = _named(R.entity_view(spark, sf_dir))
     name, address = similarity.ratios(F.col("a_name"), F.col("b_name"), ("ratio",)), similarity.ratios(F.col("a_address"), F.col("b_address"), ("token_set_ratio",))
     return rows.withColumns({"n": name, "a": address}).select(*PAIR, F.col("n.ratio").alias("name_sim"), F.col("a.token_set_ratio").alias("address_sim"))
 
 
 def similarity_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Close candidates by class of similarity, with those that are surely true."""
+    """Candidates by class of similarity, with those that are surely true."""
     name, address = F.col("name_sim"), F.col("address_sim")
     return _similar(spark, sf_dir).groupBy(blocking.similarity_category(name, address).alias("category")).agg(F.count("*").alias("n"), F.count_if(blocking.high_confidence(name, address)).alias("sure"))
 
 
 def hard_negative_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Untrue close candidates in each danger zone, by country."""
+    """Untrue candidates in each danger zone, by country."""
     e = R.entity_view(spark, sf_dir)
     rows = _similar(spark, sf_dir).join(_truth(e), PAIR, "left_anti").join(e.select(F.col("entity_id").alias("source1_entity_id"), "country"), "source1_entity_id")
     return pairs.zone_summary(rows, ["country"])
 
 
 def targeted_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 50 untrue close candidates of each category by lot, each pair once."""
+    """Up to 50 untrue candidates of each category by lot, each pair once."""
     rows = _similar(spark, sf_dir).join(_truth(R.entity_view(spark, sf_dir)), PAIR, "left_anti")
     return pairs.targeted_negatives(rows, 50).select(*PAIR, "category")
 
@@ -391,7 +413,7 @@ def queries() -> dict:
         "norm_name_doc", "legal_suffix_split", "ocr_name_fix", "token_stats_hist", "script_class_doc", "address_number_keys_pages", "address_first_keys_doc", "blocking_or_join", "blocking_and_join",
         "blocking_intersections", "blocking_variant_report", "first_word_block_negatives", "candidate_recall_by_entity", "candidate_ceiling", "missed_pairs_grouping_sets", "semi_join_sampled",
         "anti_join_negatives", "left_join_one_to_one", "topn_hard_negatives", "training_pairs", "hash_sample_split", "sample_by_group", "dedup_category_priority", "oversample_x3", "indel_ratio_pairs",
-        "token_sort_ratio_pairs", "token_set_ratio_pairs", "wratio_pairs", "char_ngram_cosine", "address_sets_jaccard", "length_token_features", "blocking_evidence_features", "base_features", "similarity_categories", "hard_negative_zones", "targeted_negatives", "random_negatives",
+        "token_sort_ratio_pairs", "token_set_ratio_pairs", "wratio_pairs", "char_ngram_cosine", "address_sets_jaccard", "length_token_features", "all_pair_measures", "blocking_evidence_features", "base_features", "similarity_categories", "hard_negative_zones", "targeted_negatives", "random_negatives",
         "macro_f05_at_t", "threshold_topk_search", "error_entity_summary", "micro_pr", "confusion_by_blocks", "describe_percentiles", "group_mean_median", "gt_match_distribution",
         "missing_value_profile", "value_counts_pct", "union_tagged", "intersect_except_ids",
     ]
