@@ -1,8 +1,10 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from affinia.llm import simple8b, token_files
@@ -32,18 +34,40 @@ def test_words_are_packed():
 
 def test_encoder_equals_the_library():
     library, encode = Tokenizer.from_file(FILE), token_files.encoder(FILE)
-    assert encode.fast is not None
+    assert encode.pieces
     for t in ["", " a", "a  b", "it's we'll", "\n\n x \n", "é日本👍", "a <|endoftext|> b", "1234 x56", "\x1c\x85\xa0 z", "ab" * 3000, " " * 50]:
         assert encode(t) == library.encode(t, add_special_tokens=False).ids
 
 
-def test_other_vocabularies_go_to_the_library():
+@pytest.mark.parametrize("remembered", [1, 100, 1_000_000])
+def test_pieces_of_random_texts(monkeypatch, remembered):
+    monkeypatch.setattr(token_files, "REMEMBERED", remembered)
+    rng = random.Random(remembered)
+    letters = [*" \n\t\r\x0b\x1c\x85\xa0\u2009\u3000\u0301aB9'sé日👍.,!-<|>", "<|endoftext|>", "'s", "'ll", "  ", " the", " word,"]
+    library, encode = Tokenizer.from_file(FILE), token_files.Encoder(FILE)
+    for _ in range(60):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(50)]
+        ends = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        ids, number = encode.encode(np.frombuffer("".join(texts).encode(), np.uint8), ends)
+        parts = np.split(ids, np.cumsum(number)[:-1])
+        assert [p.tolist() for p in parts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_vocabularies_go_to_the_library_whole():
     file = public_tokenizers.path("word_bpe_49k.json")
     encode = token_files.encoder(file)
-    assert encode.fast is None
+    assert not encode.pieces
     assert encode("Hello there") == Tokenizer.from_file(file).encode("Hello there", add_special_tokens=False).ids
 
 
+def test_long_white_space_and_clashing_names(spark):
+    rows = [(1, " " * 2_000_000), (2, "\n" * 2_000_000), (3, "x" * 300_000), (None, "a"), (None, "b"), (None, "a")]
+    docs = spark.createDataFrame([(*r, 1, "s", 7) for r in rows], "doc_id long, text string, start int, file string, text_hash int")
+    got = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.checksums(docs, FILE).collect()}
+    library = Tokenizer.from_file(FILE)
+    assert got == {(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in ((i, [*library.encode(t, add_special_tokens=False).ids, 2]) for i, t in rows)}
+
+
 @pytest.mark.parametrize("segment", [1 << 20, 500])
 def test_files_hold_all_documents(spark, monkeypatch, segment):
     monkeypatch.setattr(token_files, "SEGMENT_IDS", segment)
@@ -51,7 +75,8 @@ def test_files_hold_all_documents(spark, monkeypatch, segment):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame(rows, "doc_id long, text string"))
     got = sorted(map(tuple, token_files.checksums(docs, FILE).collect()), key=lambda r: r[1])
     library, start, expected = Tokenizer.from_file(FILE), 0, []
-    for i, t in sorted([(r.doc_id, r.text or "") for r in docs.collect()], key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    order = docs.withColumn("h", F.xxhash64("text")).orderBy("doc_id", "h", "text").collect()
+    for i, t in ((r.doc_id, r.text or "") for r in order):
         ids = [*library.encode(t, add_special_tokens=False).ids, 2]
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
