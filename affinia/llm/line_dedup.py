@@ -1,12 +1,13 @@
 """Line deduplication on levelled sorted runs.
 
 The key of a line is its text without white space at the ends and with A-Z lower-cased; keys are held as
-128-bit hashes. A run is a table of distinct keys, hashed into buckets and sorted within them, with
-the number of documents that hold each key and the largest of their doc_ids (its holder). Documents
-come in batches of descending doc_id. A new batch is merge-anti-joined with the runs: only keys that no
-run has yet get a holder from it; keys seen before only raise their count. The batch's keys become a
-run of level 0; as soon as a level has FANOUT runs they are merged into one run of the next level.
-All runs have the same buckets, so merge joins between them shuffle nothing.
+128-bit hashes. A run is a table of distinct keys, hashed into buckets and sorted within them, each
+with its holder, the largest doc_id that has it. Documents come in batches of descending doc_id, so the
+first batch that has a key has its holder too. A new batch is merge-anti-joined with all runs: the keys
+that none of them has become a run of level 0, and no key is ever in two runs. The other keys only add
+to counts, which are kept in tables apart. As soon as a level has FANOUT runs (or tables of counts)
+they are merged into one of the next level. All have the same buckets, so merge joins between them
+shuffle nothing.
 
 Keys found in at least ``min_documents`` documents are dropped from all documents but their holder.
 """
@@ -24,6 +25,8 @@ SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Batches of a whole table, and runs of a level that are merged into one of the next.
 BATCHES, FANOUT = 4, 2
+#: Keys with this share of all rows of keys or more are joined apart; at most HOT of them can exist.
+HOT = 1000
 
 
 def key_hash(line: Column, min_chars: int) -> Column:
@@ -39,9 +42,9 @@ def _hashes(bare: Column) -> Column:
 
 
 def line_keys(documents: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id and the distinct keys (h1, h2) of each row's lines."""
+    """doc_id, a hash of the text, and the distinct keys (h1, h2) of each row's lines."""
     keys = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), lambda x: key_hash(x, min_chars)), lambda k: k.isNotNull()))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(keys).alias("k")).select("doc_id", "k.h1", "k.h2")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.explode(keys).alias("k")).select("doc_id", "text_hash", "k.h1", "k.h2")
 
 
 def _lines(text: Column) -> Column:
@@ -49,85 +52,127 @@ def _lines(text: Column) -> Column:
 
 
 class Runs:
-    """Levelled sorted runs of keys; the tables lie in the session's warehouse, which all executors share."""
+    """Levelled sorted runs of new keys, and tables of further counts; all lie in the shared folder."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = []
+        #: By level, the tables of runs and of counts.
+        self.runs: list[list[str]] = []
+        self.counts: list[list[str]] = []
+        self.paths: dict[str, str] = {}
         self.made = 0
 
     def _write(self, rows: DataFrame) -> str:
-        """Stores distinct keys as a run: one sorted file a bucket."""
+        """Stores distinct keys in buckets, one sorted file for each."""
         name, self.made = f"{self.name}_{self.made}", self.made + 1
-        rows.repartition(self.buckets, "h1").sortWithinPartitions("h1", "h2").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").saveAsTable(name)
+        self.paths[name] = storage.new_path(self.spark, "line_run")
+        rows.repartition(self.buckets, "h1").sortWithinPartitions("h1", "h2").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name} PURGE")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        storage.discard(self.spark, self.paths.pop(name))
 
     def add(self, keys: DataFrame) -> None:
         """Adds a batch of (doc_id, h1, h2), distinct by row of the documents, with doc_ids below all earlier ones."""
-        run = self._write(keys.groupBy("h1", "h2").agg(F.count("*").alias("documents"), F.max("doc_id").alias("holder")))
-        older = [name for level in self.levels for name in level]
-        if older:
-            batch, rows = run, self.spark.table(run)
-            fresh = rows
-            for name in older:
-                fresh = fresh.join(self.spark.table(name).hint("merge"), ["h1", "h2"], "left_anti")
-            run = self._write(rows.drop("holder").join(fresh.select("h1", "h2", "holder").hint("merge"), ["h1", "h2"], "left"))
-            self._drop(batch)
-        self._place(run, 0)
-
-    def _place(self, run: str, level: int) -> None:
-        if level == len(self.levels):
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) == FANOUT:
-            names, self.levels[level] = self.levels[level], []
-            self._place(self._write(self._merged(names)), level + 1)
-            for name in names:
-                self._drop(name)
+        batch = self._write(keys.groupBy("h1", "h2").agg(F.count("*").alias("documents"), F.max("doc_id").alias("holder")))
+        older = [name for level in self.runs for name in level]
+        if not older:
+            self._place(self.runs, batch, 0)
+            return
+        rows = self.spark.table(batch)
+        fresh = rows
+        for name in older:
+            fresh = fresh.join(self.spark.table(name).hint("merge"), ["h1", "h2"], "left_anti")
+        run = self._write(fresh)
+        known = rows.join(self.spark.table(run).hint("merge"), ["h1", "h2"], "left_anti")
+        self._place(self.counts, self._write(known.select("h1", "h2", "documents")), 0)
+        self._drop(batch)
+        self._place(self.runs, run, 0)
+
+    def _place(self, levels: list[list[str]], name: str, level: int) -> None:
+        if level == len(levels):
+            levels.append([])
+        levels[level].append(name)
+        if len(levels[level]) == FANOUT:
+            names, levels[level] = levels[level], []
+            self._place(levels, self._write(self._merged(names)), level + 1)
+            for old in names:
+                self._drop(old)
 
     def _merged(self, names: list[str]) -> DataFrame:
-        """The runs merged by their order; a join, as a union of bucketed tables can't be relied on to keep buckets apart."""
+        """Tables merged by their order: counts are added, and a key that is in two runs is an error.
+
+        A join, as a union of bucketed tables can't be relied on to keep buckets apart.
+        """
         rows = self.spark.table(names[0])
         for name in names[1:]:
-            other = self.spark.table(name).select("h1", "h2", F.col("documents").alias("more"), F.col("holder").alias("also")).hint("merge")
-            both = rows.join(other, ["h1", "h2"], "full")
-            rows = both.select("h1", "h2", (F.coalesce("documents", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("documents"), F.greatest("holder", "also").alias("holder"))
+            other = self.spark.table(name)
+            for c in other.columns[2:]:
+                other = other.withColumnRenamed(c, f"other_{c}")
+            both = rows.join(other.hint("merge"), ["h1", "h2"], "full")
+            count = F.coalesce("documents", F.lit(0)) + F.coalesce("other_documents", F.lit(0))
+            if "holder" in rows.columns:
+                twice = F.col("documents").isNotNull() & F.col("other_documents").isNotNull()
+                count = F.when(twice, F.raise_error(F.lit("a key is in two runs")).cast("long")).otherwise(count)
+                rows = both.select("h1", "h2", count.alias("documents"), F.coalesce("holder", "other_holder").alias("holder"))
+            else:
+                rows = both.select("h1", "h2", count.alias("documents"))
         return rows
 
     def keys(self) -> DataFrame:
         """All keys with their counts and holders."""
-        return self._merged([name for level in self.levels for name in level])
+        rows = self._merged([name for level in self.runs for name in level])
+        counts = [name for level in self.counts for name in level]
+        if not counts:
+            return rows
+        more = self._merged(counts).withColumnRenamed("documents", "more").hint("merge")
+        return rows.join(more, ["h1", "h2"], "left").select("h1", "h2", (F.col("documents") + F.coalesce("more", F.lit(0))).alias("documents"), "holder")
 
     def drop(self) -> None:
-        """Removes all runs."""
-        for name in (name for level in self.levels for name in level):
+        """Removes all tables."""
+        for name in list(self.paths):
             self._drop(name)
+        self.runs, self.counts = [], []
 
 
 def frequent_keys(documents: DataFrame, keys: DataFrame, min_documents: int) -> DataFrame:
     """Keys of at least min_documents rows, with their holder, by adding the stored keys batch after batch."""
-    spark = documents.sparkSession
-    runs = Runs(spark)
-    # A null batch (null doc_ids) comes last, as if below all other doc_ids.
-    for batch in range(BATCHES, -1, -1):
-        runs.add(keys.filter(F.col("batch") == batch).select("doc_id", "h1", "h2"))
-    out = storage.materialize(runs.keys().filter(F.col("documents") >= min_documents), "frequent_lines")
-    runs.drop()
-    return out
+    runs = Runs(documents.sparkSession)
+    try:
+        # A null batch (null doc_ids) comes last, as if below all other doc_ids.
+        for batch in range(BATCHES, -1, -1):
+            runs.add(keys.filter(F.col("batch") == batch).select("doc_id", "h1", "h2"))
+        return storage.materialize(runs.keys().filter(F.col("documents") >= min_documents), "frequent_lines")
+    finally:
+        runs.drop()
+
+
+def rows_of(keys: DataFrame, frequent: DataFrame) -> DataFrame:
+    """All rows of keys that frequent has, with documents and holder.
+
+    A key with a HOTth of all rows could fill a task of its own: such keys, at most HOT of them as
+    counts add up to the number of rows, are broadcast; the others meet their rows by a merge join.
+    """
+    limit = F.lit(max(1, -(-keys.count() // HOT)))
+    hot = F.broadcast(frequent.filter(F.col("documents") >= limit))
+    rest = frequent.filter(F.col("documents") < limit)
+    cold = keys.join(F.broadcast(frequent.filter(F.col("documents") >= limit).select("h1", "h2")), ["h1", "h2"], "left_anti")
+    return keys.join(hot, ["h1", "h2"]).unionByName(cold.join(rest, ["h1", "h2"]))
 
 
 def deduplicate(documents: DataFrame, min_chars: int = 40, min_documents: int = 5) -> DataFrame:
     """documents with the lines dropped from text, and n_lines (before) and n_dropped.
 
     Lines whose key has at least min_chars characters and is found in at least min_documents rows stay
-    only in the rows with the largest doc_id that holds the key. A null or empty text is one empty line
-    and becomes an empty text. Rows that repeat a doc_id count each; a null doc_id counts as less than
-    any other. Columns already called n_lines or n_dropped are replaced, all others stay.
+    only in the rows with the largest doc_id that holds the key; a line that occurs twice there stays
+    twice. A null or empty text is one empty line and becomes an empty text. Rows that repeat a doc_id
+    count each, and each keeps the line if theirs is the largest doc_id; a null doc_id counts as less
+    than any other. Texts of any length are taken whole; a row must fit into a task, as it does on being
+    read. An empty table gives no rows. Columns already called n_lines or n_dropped are replaced, all
+    others stay, whatever their names.
     """
     limits = documents.agg(F.percentile_approx(F.col("doc_id").cast("long"), F.array(*[F.lit(k / BATCHES) for k in range(1, BATCHES)]), F.lit(10_000))).first()[0] or []
     doc_id = F.col("doc_id").cast("long")
@@ -137,9 +182,10 @@ def deduplicate(documents: DataFrame, min_chars: int = 40, min_documents: int =
 
     # The keys to drop from each row, in 64 parts by hash: looking one up is quick however many there are.
     part = F.pmod("h1", F.lit(64)).cast("int")
-    gone = keys.join(frequent, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    parts = gone.groupBy("doc_id", part.alias("part")).agg(F.collect_set(F.struct("h1", "h2")).alias("hashes"))
-    sets = parts.groupBy(F.col("doc_id").alias("gone_from")).agg(F.map_from_entries(F.collect_list(F.struct("part", "hashes"))).alias("gone"))
+    # Rows are told apart by their texts too, so a doc_id that many share (or lack) doesn't gather them.
+    gone = rows_of(keys, frequent).filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
+    parts = gone.groupBy("doc_id", "text_hash", part.alias("part")).agg(F.collect_set(F.struct("h1", "h2")).alias("hashes"))
+    sets = parts.groupBy(F.col("doc_id").alias("gone_from"), F.col("text_hash").alias("gone_hash")).agg(F.map_from_entries(F.collect_list(F.struct("part", "hashes"))).alias("gone"))
 
     def stays(line: Column) -> Column:
         def unlisted(k: Column) -> Column:
@@ -150,13 +196,17 @@ def deduplicate(documents: DataFrame, min_chars: int = 40, min_documents: int =
     # Rows travel as one column, so no name of theirs can meet a name of these steps.
     plain = documents.drop("n_lines", "n_dropped")
     whole = plain.select(F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("doc"))
-    joined = whole.join(sets, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("gone_from")), "left")
+    joined = whole.join(sets, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("gone_from")) & (F.xxhash64("doc.text") == F.col("gone_hash")), "left")
     lines = joined.withColumn("lines", _lines(F.col("doc.text"))).withColumn("kept_lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
     columns = [F.array_join("kept_lines", "\n").alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in plain.columns]
     return lines.select(*columns, F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept_lines")).cast("long").alias("n_dropped"))
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the SHA-256 of the text that stays, for each row of documents."""
+    """doc_id, n_lines, n_dropped and the SHA-256 of the text that stays, for each row of documents.
+
+    Null, empty and very long texts, ties, repeated rows and empty tables are as in ``deduplicate``;
+    other columns than doc_id and text are not read.
+    """
     rows = deduplicate(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
