@@ -1,25 +1,28 @@
 """Near-duplicate detection on 64-bit SimHash fingerprints.
 
-Fingerprints within DISTANCE differing bits are linked. Cut into five blocks of bits, two of them
-agree exactly in at least two blocks, so each distinct fingerprint is dealt to the ten pairs of
-blocks, by the bits in them. Within such a bucket fingerprints stand in order of their Gray rank,
-where neighbours differ in few bits, and a hierarchical index is built over them: each node holds
-the bits that all fingerprints below it share and that its ancestors don't hold already. The index
-is joined with itself from the top: the differences in shared bits add up along the way, and two
-whole groups are dropped once they exceed the limit. Groups already known to be connected are not
-compared again, and a bucket yields no more links than it has members: what counts is which
-fingerprints hang together. Connected components are then found over the distinct fingerprints,
-with each round written to the shared folder.
+Fingerprints within ``distance`` differing bits are linked. The distinct ones are sorted by Gray rank,
+where neighbours differ in few bits, over range partitions, and cut into groups of bounded size. A
+hierarchical index lies over them: each node holds the bits that all fingerprints below it share, and
+an upper node factors out what its children share. The index is joined with itself from the top: the
+differences in shared bits add up along the way, and two whole groups are dropped as soon as they
+exceed the limit. Its upper part, a node for each group, is small whatever the corpus; it tells which
+groups can meet at all. A group is sent to those alone, without the fingerprints too far from the other
+group's shared bits, and each two groups that meet are a unit of work of their own, so a dense
+neighbourhood is spread over tasks. Groups already known to be connected are not compared again, and
+no unit yields more links than it has members: what counts is which fingerprints hang together.
+Connected components are then found over the distinct fingerprints, with each round written to the
+shared folder.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +31,11 @@ from affinia.llm.components import connected_components
 from affinia.llm.memory import map_batches
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
-#: Widths of the blocks from the lowest bit up; DISTANCE + 2 blocks, so two are equal for linked fingerprints.
-BLOCKS = (13, 13, 13, 13, 12)
 #: Children of a node of the index, and pairs of nodes compared in one step.
-FANOUT, STEP = 8, 1_000_000
-#: Rows of buckets indexed together.
-GATHERED = 1 << 16
+FANOUT, STEP = 4, 1_000_000
+#: Fingerprints of a group, unless there would be more than MOST_GROUPS groups: then groups are larger.
+GROUP, MOST_GROUPS = 1 << 15, 1 << 13
+GROUPS = "group long, mask long, value long, prints binary"
 #: Shingles hashed before their bits are counted.
 COUNTED = 1 << 16
 
@@ -75,85 +77,109 @@ def gray_rank(column):
     return column.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _buckets(distinct: DataFrame) -> DataFrame:
-    """Each fingerprint once for every pair of blocks: bucket (which pair, and its bits) and fingerprint."""
-    low = [sum(BLOCKS[:k]) for k in range(len(BLOCKS))]
-    part = [F.shiftrightunsigned("fingerprint", low[k]).bitwiseAND(F.lit((1 << BLOCKS[k]) - 1)) for k in range(len(BLOCKS))]
-    keys = [F.lit(i).cast("long") * (1 << 32) + part[a] * (1 << 16) + part[b] for i, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    return distinct.select(F.explode(F.array(*keys)).alias("bucket"), "fingerprint")
-
-
 class GrayIndex:
-    """Hierarchical index over runs (buckets) of fingerprints in Gray order; every run is a tree of its own."""
-
-    def __init__(self, run: np.ndarray, prints: np.ndarray):
-        """run: numbers from 0 up, ascending; prints: uint64, distinct and in Gray order within a run."""
-        #: By level, from the fingerprints up: shared bits and their values, first child, run.
-        self.mask, self.value, self.first, self.run = [np.full(len(prints), ~np.uint64(0))], [prints], [np.arange(len(prints) + 1)], [run]
-        while len(self.run[-1]) > run[-1] + 1:
-            mask, value, of = self.mask[-1], self.value[-1], self.run[-1]
-            begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            place = np.arange(len(of)) - np.repeat(begin, np.diff(np.append(begin, len(of))))
-            start = np.flatnonzero(place % FANOUT == 0)
+    """Hierarchical index over nodes in Gray order: fingerprints, or groups of them by the bits they share."""
+
+    def __init__(self, value: np.ndarray, mask: np.ndarray | None = None):
+        """value: uint64, in Gray order; mask: the bits that count (all, for fingerprints)."""
+        #: By level, from the leaves up: shared bits and their values; first child, from level 1 on.
+        self.mask, self.value, self.first = [np.full(len(value), ~np.uint64(0)) if mask is None else mask], [value], [np.zeros(0, np.int64)]
+        while len(self.value[-1]) > 1:
+            mask, value = self.mask[-1], self.value[-1]
+            start = np.arange(0, len(value), FANOUT)
             every = np.bitwise_and.reduceat(mask, start)
             ones, zeros = np.bitwise_and.reduceat(value & mask, start), np.bitwise_and.reduceat(~value & mask, start)
             self.mask.append(every & (ones | zeros))
             self.value.append(ones)
-            self.first.append(np.append(start, len(of)))
-            self.run.append(of[start])
+            self.first.append(np.append(start, len(value)))
+        self.top = len(self.value) - 1
         #: Bits that a node holds beyond those of its parent: what a step down can add to the differences.
-        self.own = [self.mask[-1]]
-        for level in range(len(self.mask) - 2, -1, -1):
-            size = np.diff(self.first[level + 1])
-            self.own.insert(0, self.mask[level] & ~np.repeat(self.mask[level + 1], size))
-
-    def forest(self, distance: int) -> np.ndarray:
-        """For each fingerprint, the first one in its run that links of at most ``distance`` bits lead to."""
-        n = len(self.run[0])
-        parent = np.arange(n)
-        top = len(self.run) - 1
-        roots = np.arange(len(self.run[top]))
-        todo = [(top, roots, roots, np.zeros(len(roots), np.int64))]
-        while todo:
-            level, a, b, apart = todo.pop()
-            if level == 0:
-                _unite(parent, a, b)
-                continue
-            if len(a) > STEP // FANOUT**2:
-                half = len(a) // 2
-                todo += [(level, a[half:], b[half:], apart[half:]), (level, a[:half], b[:half], apart[:half])]
-                continue
-            if level < top:
-                low, high = self._extent(parent, level)
-                keep = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
-                a, b, apart = a[keep], b[keep], apart[keep]
-            a, b, apart = self._children(level, a, b, apart)
-            level -= 1
-            # Bits shared by both, less those that both parents shared: differences there were counted.
-            both = self.mask[level][a] & self.mask[level][b]
-            fresh = both & (self.own[level][a] | self.own[level][b])
-            apart = apart + np.bitwise_count((self.value[level][a] ^ self.value[level][b]) & fresh)
-            near = (apart <= distance) & ((a != b) | (level > 0))
-            todo.append((level, a[near], b[near], apart[near]))
-        return parent
-
-    def _extent(self, parent: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        self.own = [m & ~np.repeat(self.mask[k + 1], np.diff(self.first[k + 1])) for k, m in enumerate(self.mask[:-1])] + [self.mask[-1]]
+
+    def __len__(self) -> int:
+        return len(self.value[0])
+
+    def extent(self, parent: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """The lowest and highest component below each node of a level."""
         low = high = parent
         for k in range(1, level + 1):
             low, high = np.minimum.reduceat(low, self.first[k][:-1]), np.maximum.reduceat(high, self.first[k][:-1])
         return low, high
 
-    def _children(self, level: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pairs of a child of a and one of b, each pair once."""
+    def children(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First child of each node, and how many it has; at level 0 the node itself."""
+        if level == 0:
+            return node, np.ones(len(node), np.int64)
         first = self.first[level]
-        na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
+        return first[node], first[node + 1] - first[node]
+
+
+def meetings(left: GrayIndex, right: GrayIndex, distance: int, skip=None, seen: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of leaves whose shared bits differ in at most distance places, some at a time.
+
+    With one index on both sides each pair comes once, the lesser first, and no leaf meets itself.
+    ``skip`` may say which pairs of nodes need no look; ``seen`` counts pairs of nodes that were
+    dropped whole (pruned) and pairs of leaves that were compared.
+    """
+    same = left is right
+    if not (len(left) and len(right)):
+        return
+    both = left.mask[-1] & right.mask[-1]
+    root = np.zeros(1, np.int64)
+    todo = [(left.top, right.top, root, root, np.bitwise_count((left.value[-1] ^ right.value[-1]) & both).astype(np.uint8))]
+    while todo:
+        la, lb, a, b, apart = todo.pop()
+        if len(a) > max(1, STEP // FANOUT**2):
+            half = len(a) // 2
+            todo += [(la, lb, a[half:], b[half:], apart[half:]), (la, lb, a[:half], b[:half], apart[:half])]
+            continue
+        if la == lb == 0:
+            keep = (apart <= distance) & ((a < b) if same else True)
+            yield a[keep], b[keep]
+            continue
+        if skip is not None:
+            keep = ~skip(la, lb, a, b)
+            a, b, apart = a[keep], b[keep], apart[keep]
+        # The higher side goes down, or both.
+        da, db = la if la >= lb else 0, lb if lb >= la else 0
+        (fa, na), (fb, nb) = left.children(da, a), right.children(db, b)
         total = na * nb
         pair = np.repeat(np.arange(len(a)), total)
-        inner = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-        x, y = first[a][pair] + inner // nb[pair], first[b][pair] + inner % nb[pair]
-        keep = x <= y
-        return x[keep], y[keep], apart[pair][keep]
+        inner = np.arange(len(pair)) - np.repeat(np.cumsum(total) - total, total)
+        x, y = fa[pair] + inner // nb[pair], fb[pair] + inner % nb[pair]
+        la, lb = la - (da > 0), lb - (db > 0)
+        if same:
+            keep = x <= y if la else x < y
+            x, y, pair = x[keep], y[keep], pair[keep]
+        # Bits that both hold now, less those that both held a step above: differences there were counted.
+        gained = (left.own[la][x] if da else np.uint64(0)) | (right.own[lb][y] if db else np.uint64(0))
+        fresh = left.mask[la][x] & right.mask[lb][y] & gained
+        found = apart[pair] + np.bitwise_count((left.value[la][x] ^ right.value[lb][y]) & fresh)
+        near = found <= distance
+        if seen is not None:
+            seen["compared" if la == lb == 0 else "kept"] += int(near.sum()) if la or lb else len(near)
+            seen["pruned"] += int(len(near) - near.sum()) if la or lb else 0
+        todo.append((la, lb, x[near], y[near], found[near]))
+
+
+def forest(left: GrayIndex, right: GrayIndex, distance: int, seen: Counter | None = None) -> np.ndarray:
+    """For each leaf (of the left index, then of the right one if it is another) the first that links across lead to."""
+    offset = 0 if left is right else len(left)
+    parent = np.arange(offset + len(right))
+    united = False
+
+    def connected(la: int, lb: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not united or (la == left.top and lb == right.top):
+            return np.zeros(len(a), bool)
+        low_a, high_a = left.extent(parent[: len(left)], la)
+        low_b, high_b = right.extent(parent[offset:], lb)
+        return (low_a[a] == high_a[a]) & (low_b[b] == high_b[b]) & (low_a[a] == low_b[b])
+
+    for a, b in meetings(left, right, distance, connected, seen):
+        if len(a):
+            united = True
+            _unite(parent, a, b + offset)
+    return parent
 
 
 def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -169,48 +195,91 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = parent[parent]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within the buckets of a partition, which is sorted by bucket and Gray rank: at most one a member."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        parts.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-        size += batch.num_rows
-        if size >= GATHERED:
-            bucket, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
-            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
-            yield _linked(bucket[:cut], prints[:cut])
-            parts, size = [(bucket[cut:], prints[cut:])], 0
-    if parts:
-        yield _linked(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-
-def _linked(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-    if len(bucket):
-        change = np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])
-        several = ~(change[:-1] & change[1:])  # not alone in its bucket
-        bucket, prints = bucket[several], prints[several]
-    a = b = np.zeros(0, np.int64)
-    if len(bucket):
-        run = np.cumsum(np.concatenate([[0], bucket[1:] != bucket[:-1]]))
-        root = GrayIndex(run, prints).forest(DISTANCE)
-        linked = root != np.arange(len(root))
-        a, b = prints[linked].view(np.int64), prints[root[linked]].view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def near_duplicates(documents: DataFrame, words: int = SHINGLE) -> DataFrame:
+def gray_groups(distinct: DataFrame, n: int) -> DataFrame:
+    """Stores n distinct fingerprints in groups of Gray order, a row each with the bits they share (columns GROUPS)."""
+    size = max(GROUP, -(-n // MOST_GROUPS))
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def group(prints: np.ndarray) -> pa.RecordBatch:
+            index = GrayIndex(prints)
+            mask, value = (np.array(x[-1], np.uint64).view(np.int64) for x in (index.mask, index.value))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array(mask, pa.int64()), pa.array(value, pa.int64()), pa.array([prints.tobytes()], pa.binary())], ["group", "mask", "value", "prints"])
+
+        for batch in batches:
+            parts.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            held += batch.num_rows
+            while held >= size:
+                every = np.concatenate(parts)
+                yield group(every[:size])
+                number, parts, held = number + 1, [every[size:]], held - size
+        if held:
+            yield group(np.concatenate(parts))
+
+    rank = gray_rank(F.col("fingerprint"))
+    ordered = distinct.select("fingerprint").repartitionByRange(max(1, -(-n // size)), rank).sortWithinPartitions(rank)
+    path = storage.new_path(distinct.sparkSession, "gray_groups")
+    map_batches(ordered, groups, GROUPS).write.options(**storage.LARGE_ROWS).parquet(path)
+    return distinct.sparkSession.read.schema(GROUPS).parquet(path)
+
+
+def links(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) that connect all of n distinct fingerprints within distance bits of each other."""
+    spark = distinct.sparkSession
+    groups = gray_groups(distinct, n)
+    # The index above the groups: at most MOST_GROUPS nodes, and one more for each range of the sort.
+    nodes = sorted(groups.select("group", "mask", "value").collect())
+    upper = spark.sparkContext.broadcast((np.array([r["group"] for r in nodes], np.int64), GrayIndex(*(np.array([r[c] for r in nodes], np.int64).view(np.uint64) for c in ("value", "mask")))))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, index = upper.value
+        for batch in batches:
+            for number, data in zip(batch.column("group").to_pylist(), batch.column("prints"), strict=True):
+                prints, at = np.frombuffer(data.as_py(), np.uint64), int(np.searchsorted(numbers, number))
+                own = GrayIndex(index.value[0][at : at + 1], index.mask[0][at : at + 1])
+                for _, others in meetings(own, index, distance):
+                    for other in others.tolist():
+                        # Of two groups one goes to the other, now the former, now the latter.
+                        if other != at and ((other > at) == bool((other + at) % 2)):
+                            continue
+                        near = prints if other == at else prints[np.bitwise_count((prints ^ index.value[0][other]) & index.mask[0][other]) <= distance]
+                        if len(near):
+                            yield pa.RecordBatch.from_arrays([pa.array([numbers[other]], pa.int64()), pa.array([number], pa.int64()), pa.array([b"" if other == at else near.tobytes()], pa.binary())], ["target", "source", "prints"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                prints, own = (batch.column(c)[k].as_py() for c in ("prints", "own"))
+                right = GrayIndex(np.frombuffer(own, np.uint64))
+                left = GrayIndex(np.frombuffer(prints, np.uint64)) if prints else right
+                every = right.value[0] if left is right else np.concatenate([left.value[0], right.value[0]])
+                root = forest(left, right, distance)
+                linked = root != np.arange(len(root))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (every[linked], every[root[linked]])], ["a", "b"])
+
+    # So many tasks that few targets share one; each row is a unit of work.
+    tasks = max(1, min(2 * len(nodes), 1 << 14))
+    targets = groups.select(F.col("group").alias("target"), F.col("prints").alias("own")).repartition(tasks, "target")
+    pairs = map_batches(groups.select("group", "prints"), sent, "target long, source long, prints binary").repartition(tasks, "target")
+    return map_batches(pairs.join(targets.hint("merge"), "target").select("prints", "own"), met, "a long, b long")
+
+
+def near_duplicates(documents: DataFrame, words: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row for each row of documents: doc_id, fingerprint (16 hex digits), component_id.
 
-    component_id is the smallest doc_id that links lead to. A null text is an empty one: its
-    fingerprint is zero and links like any other. Rows that repeat a doc_id stay; a null doc_id
-    never names a component unless all of its members are null, which gives null.
+    component_id is the smallest doc_id that links lead to. A null or empty text, or one of white space
+    alone, has fingerprint zero, which links like any other; texts of any length are taken whole. A bit
+    that exactly half of the shingles have is 0. Rows that repeat a doc_id or a text stay, each with its
+    own; a null doc_id never names a component unless all of its members are null, which gives null. An
+    empty table gives no rows. Columns besides doc_id and text are not read.
     """
     prints = storage.materialize(fingerprints(documents, words), "fingerprints")
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    sorted_buckets = _buckets(prints.select("fingerprint").distinct()).repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("fingerprint")))
-    links = storage.materialize(map_batches(sorted_buckets, _links, "a long, b long").distinct(), "links")
-    labels = connected_components(links)
+    distinct = storage.materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
+    found = storage.materialize(links(distinct, distinct.count(), distance).distinct(), "links")
+    labels = connected_components(found)
     grouped = distinct.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     named = grouped.filter(F.col("component") != F.col("fingerprint")).groupBy("component").agg(F.min("least").alias("others"))
     of = grouped.join(named, "component", "left")

@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -47,27 +49,84 @@ def gray(x):
     return x
 
 
-@pytest.mark.parametrize("step", [64, 1000, 1_000_000])
+def cloud(rng):
+    """Distinct fingerprints around some centres, in Gray order."""
+    members = set()
+    for _ in range(rng.randrange(1, 6)):
+        centre = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 2, 5, 30, 300])):
+            x = centre
+            for _ in range(rng.randrange(9)):
+                x ^= 1 << rng.randrange(64)
+            members.add(x)
+    return sorted(members, key=gray)
+
+
+@pytest.mark.parametrize("step", [16, 1000, 1_000_000])
 def test_index_finds_all_components(monkeypatch, step):
     monkeypatch.setattr(simhash, "STEP", step)
     rng = random.Random(step)
     for _ in range(40):
-        runs = []
-        for _ in range(rng.randrange(1, 6)):
-            centre, members = rng.getrandbits(64), set()
-            for _ in range(rng.choice([1, 2, 5, 30, 300])):
-                x = centre
-                for _ in range(rng.randrange(9)):
-                    x ^= 1 << rng.randrange(64)
-                members.add(x)
-            runs.append(sorted(members, key=gray))
-        run = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-        prints = np.array([x for r in runs for x in r], np.uint64)
-        root = simhash.GrayIndex(run, prints).forest(3)
-        for k, members in enumerate(runs):
-            of, found = components(members), root[run == k]
-            pairs = {(of[x], int(r)) for x, r in zip(members, found, strict=True)}
-            assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+        members = cloud(rng)
+        index = simhash.GrayIndex(np.array(members, np.uint64))
+        of, root = components(members), simhash.forest(index, index, 3)
+        pairs = {(of[x], int(r)) for x, r in zip(members, root, strict=True)}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_two_groups_meet():
+    """What lies across two groups of different sizes is found, and only that."""
+    rng = random.Random(5)
+    for _ in range(60):
+        members = cloud(rng)
+        cut = rng.randrange(len(members) + 1)
+        sides = [np.array(m, np.uint64) for m in (members[:cut], members[cut:])]
+        left, right = map(simhash.GrayIndex, sides)
+        got = {(int(sides[0][a]), int(sides[1][b])) for x, y in simhash.meetings(left, right, 3) for a, b in zip(x, y, strict=True)}
+        assert got == {(a, b) for a in members[:cut] for b in members[cut:] if (a ^ b).bit_count() <= 3}
+
+
+def test_index_drops_whole_groups():
+    """On the driver's documents groups are dropped by their shared bits, and a part of all pairs is compared: the smaller, the more there are."""
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    members = sorted({simhash.fingerprint(t) & (1 << 64) - 1 for t in texts}, key=gray)
+    shares = []
+    for some in (members[::10], members):
+        index, seen = simhash.GrayIndex(np.array(some, np.uint64)), Counter()
+        simhash.forest(index, index, 3, seen)
+        shares.append(seen["compared"] / (len(some) * (len(some) - 1) / 2))
+    assert seen["pruned"] > seen["kept"] > 0
+    assert shares[1] < 0.3 < shares[0] < 0.9
+
+
+@pytest.mark.parametrize("group", [7, 1 << 15])
+def test_links_over_groups(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = random.Random(group)
+    members = sorted({x for _ in range(4) for x in cloud(rng)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in members]
+    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fingerprint long"), len(members)).collect()
+    links = [(a % (1 << 64), b % (1 << 64)) for a, b in found]
+    of, parent = components(members), {x: x for x in members}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[top(a)] = top(b)
+    pairs = {(of[x], top(x)) for x in members}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_clashing_names_and_other_distances(spark):
+    rows = [(k, "one two three four five " * 3 + w, 1, "x", 2) for k, w in enumerate(["", "six", "seven", "entirely other words here " * 9])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint int, component_id string, least int")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, distance=40).collect()}
+    prints = [int(r.fingerprint, 16) for r in sorted(simhash.near_duplicates(docs, distance=0).collect())]
+    assert prints == [fingerprint(r[1]) for r in rows]
+    assert got == {k: 0 for k in range(4)} or any((prints[3] ^ p).bit_count() > 40 for p in prints[:3])
 
 
 def test_documents_and_edge_cases(spark):
