@@ -1,10 +1,12 @@
 """Language identification by a convolutional network over bytes, trained in numpy.
 
-A text is cut into windows of a fixed number of bytes, all of it. In each window, filters of several
-widths run over embedded bytes, the largest response of each filter in the window goes to a softmax
-over the languages, and a text's prediction is the mean over its windows. Training takes a sample of
-labelled rows of bounded size, chosen by a hash of doc_id, evenly by language; the trained weights
-are a few kilobytes and travel with the tasks.
+A text is cut into windows of a fixed number of bytes, all of it, each beginning with the last bytes of
+the one before, so that no run of bytes is lost at a cut. In each window, filters of several widths
+run over the embedded bytes at every place, the largest response of each filter in the window goes to a
+softmax over the languages, and a text's prediction is the mean over its windows. Training takes the
+whole texts of a sample of labelled rows of bounded size, chosen by a hash of doc_id, evenly by
+language, and all languages that occur; the trained weights are a few kilobytes and travel with the
+tasks.
 """
 
 from __future__ import annotations
@@ -15,18 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinia.llm.memory import map_batches
 
 #: Bytes in a window, windows computed at a time, and texts taken together.
 WINDOW, BATCH, TOGETHER = 192, 256, 64
-#: Filter widths, filters of each, size of a byte's embedding, and places between two applications of a filter.
-WIDTHS, FILTERS, EMBEDDING, STRIDE = (2, 3, 4, 5), 16, 8, 2
-#: The bound of the training sample: rows a language, languages, and pieces of PIECE characters taken from all over a row's text.
-ROWS, LANGUAGES, PIECES, PIECE = 800, 200, 8, 192
-EPOCHS, TRAIN_BATCH, RATE, NOISE_SEED = 6, 64, 3e-3, 7
+#: Filter widths, filters of each, size of a byte's embedding.
+WIDTHS, FILTERS, EMBEDDING = (2, 3, 4, 5), 16, 8
+#: The bound of the training sample: rows a language, and rows in all (but one of each language at least).
+ROWS, ALL_ROWS = 800, 8000
+#: Steps of training, of TRAIN_BATCH windows each: a row is drawn, then any window of its text.
+STEPS, TRAIN_BATCH, RATE, NOISE_SEED = 1600, 64, 3e-3, 7
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -47,14 +50,13 @@ class Network:
         held = np.zeros((len(windows), windows.shape[1] + max(WIDTHS) - 1), np.uint8)
         held[:, : windows.shape[1]] = windows
         embedded = self.embedding[held]
-        places = -(-windows.shape[1] // STRIDE)
         n, s = embedded.strides[0], embedded.strides[1]
-        return np.lib.stride_tricks.as_strided(embedded, (len(windows), places, max(WIDTHS) * EMBEDDING), (n, s * STRIDE, embedded.strides[2])).copy()
+        return np.lib.stride_tricks.as_strided(embedded, (len(windows), windows.shape[1], max(WIDTHS) * EMBEDDING), (n, s, embedded.strides[2])).copy()
 
     def logits(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Logits, with the spans, responses' places of the maximum, and pooled values that training needs."""
         spans = self.spans(windows)
-        response = spans @ self.filters
+        response = (spans.reshape(-1, spans.shape[2]) @ self.filters).reshape(*spans.shape[:2], -1)
         where = response.argmax(axis=1) if self.training else None
         pooled = np.maximum(response.max(axis=1) + self.bias, 0)
         return pooled @ self.out + self.out_bias, spans, where, pooled
@@ -80,8 +82,14 @@ def _reach() -> np.ndarray:
     return (rows[:, None] < np.repeat(WIDTHS, FILTERS)).astype(np.float32)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Network:
-    """A network fitted by Adam to windows (uint8) and the indexes of their languages; the same for the same input."""
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], number: np.ndarray | None = None) -> Network:
+    """A network fitted by Adam to windows (uint8) and the indexes of their rows' languages; the same for the same input.
+
+    number tells how many windows each row has, one if left out. Every step draws rows, each equally
+    likely, and any window of each: long texts don't outweigh others, and all of their windows count.
+    """
+    number = np.ones(len(windows), np.int64) if number is None else number
+    begin = np.cumsum(number) - number
     rng = np.random.default_rng(NOISE_SEED)
     reach, k = _reach(), len(languages)
     span, total = reach.shape
@@ -96,16 +104,14 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Netw
     net.embedding[0] = 0
     net.training = True
     names = ("embedding", "filters", "bias", "out", "out_bias")
-    first, second, step = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(windows))
-        for at in range(0, len(order), TRAIN_BATCH):
-            x, y = windows[order[at : at + TRAIN_BATCH]], labels[order[at : at + TRAIN_BATCH]]
-            step += 1
-            for n, g in _gradients(net, x, y, reach).items():
-                first[n] = 0.9 * first[n] + 0.1 * g
-                second[n] = 0.999 * second[n] + 0.001 * g * g
-                getattr(net, n)[...] -= RATE * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
+    first, second = {n: 0.0 for n in names}, {n: 0.0 for n in names}
+    for step in range(1, STEPS + 1):
+        row = rng.integers(0, len(number), TRAIN_BATCH)
+        x, y = windows[begin[row] + rng.integers(0, number[row])], labels[row]
+        for n, g in _gradients(net, x, y, reach).items():
+            first[n] = 0.9 * first[n] + 0.1 * g
+            second[n] = 0.999 * second[n] + 0.001 * g * g
+            getattr(net, n)[...] -= RATE * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
     net.training = False
     return net
 
@@ -123,22 +129,30 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray, reach: np.ndarray) ->
     span = max(WIDTHS)
     held = np.zeros((len(x), x.shape[1] + span - 1), np.uint8)
     held[:, : x.shape[1]] = x
-    byte = held[rows[:, :, None], (where * STRIDE)[:, :, None] + np.arange(span)]
+    byte = held[rows[:, :, None], where[:, :, None] + np.arange(span)]
     embedding = np.zeros_like(net.embedding)
-    np.add.at(embedding, byte.reshape(-1), into.reshape(-1, EMBEDDING))
+    for k in range(EMBEDDING):
+        embedding[:, k] = np.bincount(byte.reshape(-1), into.reshape(-1, EMBEDDING)[:, k], 256)
     embedding[0] = 0
     return {"embedding": embedding, "filters": np.einsum("nfs,nf->sf", chosen, back) * reach, "bias": back.sum(axis=0), "out": pooled.T @ d, "out_bias": d.sum(axis=0)}
 
 
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of all texts, the last of each padded with zeros, and how many each has; an empty text has one."""
-    number = np.array([max(1, -(-len(t) // WINDOW)) for t in texts], np.int64)
-    out = np.zeros(int(number.sum()) * WINDOW, np.uint8)
-    at = 0
-    for t, n in zip(texts, number.tolist(), strict=True):
-        out[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        at += n * WINDOW
-    return out.reshape(-1, WINDOW), number
+    """The windows of all texts, the last of each padded with zeros, and how many each has; an empty text has one.
+
+    Each window but a text's first begins with the last max(WIDTHS) - 1 bytes of the one before.
+    """
+    step = WINDOW - (max(WIDTHS) - 1)
+    size = np.array([len(t) for t in texts], np.int64)
+    number = np.maximum(1, -(-(size - (max(WIDTHS) - 1)) // step))
+    held = (number - 1) * step + WINDOW  # bytes of each text with its padding
+    flat = np.zeros(int(held.sum()), np.uint8)
+    begin = np.cumsum(held) - held
+    for t, at in zip(texts, begin.tolist(), strict=True):
+        flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
+    place = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+    start = np.repeat(begin, number) + place * step
+    return np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[start] if len(start) else np.zeros((0, WINDOW), np.uint8), number
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -149,41 +163,34 @@ def fold(doc_id: str = "doc_id") -> Column:
 def fit(labelled: DataFrame) -> Network | None:
     """A network for the languages of labelled (doc_id, text, lang); None if no text has both a language and letters.
 
-    Two passes: languages are counted, then about ROWS rows of each are drawn by a hash of their doc_id
-    and PIECES pieces are cut from all over each text. More than LANGUAGES languages: the most frequent.
+    Two passes: languages are counted, then rows of each are drawn by a hash of their doc_id, ROWS at
+    most and ALL_ROWS over all languages (with more languages than that, one of each). Of rows with
+    the same hash any number may be drawn, ties in order of their texts; a drawn text counts whole.
     """
     rows = labelled.filter("lang is not null and text rlike '\\\\p{L}'").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
+    take = max(1, min(ROWS, ALL_ROWS // len(counts)))
     draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
-    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 30, (1 << 30) * 3 * ROWS // (2 * r["count"]) + 1))])
-    step = F.greatest(F.lit(1), F.floor(F.length("text") / PIECES)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(F.col("text"), i * F.col("step") + 1, F.lit(PIECE)))
-    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < F.coalesce(limits[F.col("lang")], F.lit(0))).withColumn("step", step)
-    sample = sorted(drawn.select("lang", "draw", "doc_id", pieces.alias("pieces")).collect(), key=lambda r: (r["lang"], r["draw"], str(r["doc_id"]), r["pieces"]))
-    languages = sorted(r["lang"] for r in counts)
+    # Somewhat more than are needed by chance, then by rank, so that no more than `take` reach the driver.
+    limits = rows.sparkSession.createDataFrame([(x, min(1 << 30, (1 << 30) * (2 * take + 20) // n + 1)) for x, n in counts.items()], "of string, most long")
+    some = rows.withColumn("draw", draw).join(limits, F.col("lang") == F.col("of")).filter("draw < most")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.col("doc_id").cast("string"), "text"))
+    sample = some.withColumn("rank", rank).filter(F.col("rank") <= take).select("lang", "rank", "text").collect()
+    languages = sorted(counts)
     index = {x: i for i, x in enumerate(languages)}
-    taken: dict[str, int] = {}
-    texts: list[bytes] = []
-    labels: list[int] = []
-    for r in sample:
-        if taken.setdefault(r["lang"], 0) < ROWS:
-            taken[r["lang"]] += 1
-            for piece in r["pieces"]:
-                # As in the texts themselves, a window may begin or end within a character.
-                if _LETTER.search(piece):
-                    texts.append(piece.encode()[:WINDOW])
-                    labels.append(index[r["lang"]])
-    if not texts:
-        return None
-    return train(windows_of(texts)[0], np.array(labels), languages)
+    sample.sort(key=lambda r: (r["lang"], r["rank"]))
+    windows, number = windows_of([r["text"].encode() for r in sample])
+    return train(windows, np.array([index[r["lang"]] for r in sample]), languages, number)
 
 
 def predict(documents: DataFrame, network: Network | None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Adds the predicted language and its score (0 to 1) to all rows, from the whole of each text.
 
-    A text without a letter, and a null one, is ``und`` with score 0, as is every text without a network.
+    A text without a letter, and a null or empty one, is ``und`` with score 0, as is every text without
+    a network. Every window of a text counts, however long it is; of languages with equal means the
+    first in order of their names is taken; repeated rows are judged alike, and an empty table gives none.
     Columns already called as ``into`` says are replaced; no other column than text is looked at.
     """
 

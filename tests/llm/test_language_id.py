@@ -19,7 +19,8 @@ def test_folds(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 4 for i in range(50)}
 
 
-def test_labels_outside_the_folds_are_not_seen(spark):
+def test_labels_outside_the_folds_are_not_seen(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 40)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     other = docs.withColumn("lang", F.when(language_id.fold() == 2, "zz").otherwise(F.col("lang"))).withColumn("source", F.lit("none"))
     a, b = (sorted(map(tuple, language_id.held_out_predictions(d).collect())) for d in (docs, other))
@@ -66,5 +67,62 @@ def test_gradients():
 
 
 def test_windows_cover_whole_texts():
-    windows, number = language_id.windows_of([b"", b"a" * language_id.WINDOW, b"b" * (language_id.WINDOW + 1)])
-    assert number.tolist() == [1, 1, 2] and (windows > 0).sum() == 2 * language_id.WINDOW + 1
+    """Every run of bytes as long as the widest filter lies in a window, once."""
+    w, over = language_id.WINDOW, max(language_id.WIDTHS) - 1
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, 256, n).astype(np.uint8).tobytes() for n in (0, 1, over, w - 1, w, w + 1, 2 * w - over, 2 * w - over + 1, 1000)]
+    windows, number = language_id.windows_of(texts)
+    assert number.tolist() == [1, 1, 1, 1, 1, 2, 2, 3, 6]
+    at = 0
+    for t, n in zip(texts, number.tolist(), strict=True):
+        own = [x.tobytes() for x in windows[at : at + n]]
+        assert own[0] + b"".join(x[over:] for x in own[1:]) == t.ljust(w + (n - 1) * (w - over), b"\0")
+        assert all(a[-over:] == b[:over] for a, b in zip(own, own[1:], strict=False))
+        at += n
+
+
+def brute(net, text):
+    """Mean probabilities of a text by plain loops over windows, places, filters and bytes."""
+    step, widest = language_id.WINDOW - max(language_id.WIDTHS) + 1, max(language_id.WIDTHS)
+    total = np.zeros(len(net.languages))
+    starts = [0, *range(step, max(step, len(text) - widest + 1), step)]
+    for at in starts:
+        window = [*text[at : at + language_id.WINDOW]]
+        window += [0] * (language_id.WINDOW + widest - len(window))
+        pooled = []
+        for f in range(len(net.bias)):
+            width = language_id.WIDTHS[f // language_id.FILTERS]
+            best = max(sum(float(net.embedding[window[p + k]] @ net.filters[k * language_id.EMBEDDING : (k + 1) * language_id.EMBEDDING, f]) for k in range(width)) for p in range(language_id.WINDOW))
+            pooled.append(max(0.0, best + float(net.bias[f])))
+        logits = np.array(pooled) @ net.out + net.out_bias
+        e = np.exp(logits - logits.max())
+        total += e / e.sum()
+    return total / len(starts)
+
+
+def test_predictions_equal_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 30)
+    monkeypatch.setattr(language_id, "FILTERS", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    net = language_id.fit(docs)
+    for row in docs.filter("length(text) between 20 and 900").orderBy("doc_id").limit(6).collect():
+        text = row["text"].encode()
+        windows, number = language_id.windows_of([text])
+        assert len(windows) == number[0]
+        assert net.probabilities(windows).mean(axis=0) == pytest.approx(brute(net, text), abs=1e-4)
+
+
+def test_ties_take_the_first_language(spark):
+    """A network without any weight finds all languages equal."""
+    zero = language_id.Network(["aa", "bb"], np.zeros((256, language_id.EMBEDDING), np.float32), np.zeros((max(language_id.WIDTHS) * language_id.EMBEDDING, len(language_id.WIDTHS) * language_id.FILTERS), np.float32), np.zeros(len(language_id.WIDTHS) * language_id.FILTERS, np.float32), np.zeros((len(language_id.WIDTHS) * language_id.FILTERS, 2), np.float32), np.zeros(2, np.float32))
+    out = language_id.predict(spark.createDataFrame([(1, "abc"), (1, "abc"), (2, "x " * 500)], "doc_id long, text string"), zero).collect()
+    assert [(r.lang_pred, r.score) for r in out] == [("aa", 0.5)] * 3
+
+
+def test_all_languages_are_learned(spark, monkeypatch):
+    """With more languages than rows are allowed, one row of each is taken."""
+    monkeypatch.setattr(language_id, "ALL_ROWS", 10)
+    monkeypatch.setattr(language_id, "STEPS", 5)
+    rows = [(k, f"text number {k}", f"l{k % 300:03d}") for k in range(600)]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.languages == [f"l{k:03d}" for k in range(300)]
