@@ -36,9 +36,19 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
-    groups = storage.materialize(simhash.near_duplicates(docs), "groups")
-    copies = groups.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
+    """The document with the most long lines of each group of near-duplicates, the largest doc_id among equals.
+
+    The stage before leaves a long line that many share in the largest doc_id that has it; of documents
+    alike but for such a line that one has most, and of those that had the same lines the largest has
+    kept them. Rows without a doc_id go if their group has one with.
+    """
+    groups = storage.materialize(simhash.near_duplicates(docs).select("doc_id", "component_id").distinct(), "groups")
+    long_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: line_dedup.key_hash(x, 40).isNotNull()))
+    sizes = docs.groupBy(F.col("doc_id").cast("long").alias("sized_id")).agg(F.max(long_lines).alias("size"))
+    sized = groups.join(sizes, F.col("doc_id") == F.col("sized_id"), "left")
+    rank = F.struct(F.coalesce("size", F.lit(0)), "doc_id")
+    kept = sized.filter("doc_id is not null").groupBy(F.col("component_id").alias("of")).agg(F.max_by("doc_id", rank).alias("kept_id"))
+    copies = groups.join(kept, F.col("component_id") == F.col("of")).filter("doc_id is null or doc_id <> kept_id").select("doc_id").distinct()
     return _without(docs, copies)
 
 
