@@ -5,10 +5,11 @@ side. Walking along that order is walking a prefix tree depth first: a turn that
 shares with the one before it is there already, the others are emitted. Each pack (one training
 sequence) holds the text of its turns once, and for each turn the node above it, its place in the
 pack, the position of its first character counted along its own conversation, and the intervals
-of the pack that it attends to: its ancestors and itself. A pack ends where a conversation shares
-nothing with the one before, once it is PACK_CHARS long, or, within a tree larger than that, where
-the turns shared with the next conversation are emitted once more. So neither a first turn that
-very many conversations share nor a long run of equal ones has to fit into one task.
+of the pack that it attends to: its ancestors and itself. Once it is PACK_CHARS long, a pack ends where
+a conversation shares nothing with the one before; only a tree that goes on past OVERLONG times that,
+and one that lies across two partitions of the sort, is cut, and the turns shared there are emitted
+once more. So neither a first turn that very many conversations share nor a long run of equal ones
+has to fit into one task.
 
 Units are characters (code points). Control strings inside texts are broken by a backslash, and
 backslashes doubled, so the template's own marks are the only ones, and texts come back unchanged.
@@ -32,7 +33,7 @@ from affinia.llm.memory import map_batches
 CONTROL = ("<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 OPEN, CLOSE = "<s>", "</s>"
 #: The role whose texts are learned, and the characters after which a pack ends when it can.
-LEARNED, PACK_CHARS = "assistant", 1 << 18
+LEARNED, PACK_CHARS, OVERLONG = "assistant", 1 << 18, 4
 
 _breaks = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _back = re.compile(r"\\(\\?)")
@@ -92,7 +93,8 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             turns = [(t["role"], t["text"]) for t in turns.as_py()]
-            if tree.length >= PACK_CHARS or (tree.length and len(tree.conversations) >= PACK_CHARS):
+            long = max(tree.length, len(tree.conversations)) // PACK_CHARS
+            if long >= OVERLONG or (long and not tree.shares(turns)):
                 yield pa.RecordBatch.from_pylist([tree.row()], schema)
                 tree = Tree()
             tree.add(conv_id, turns)
@@ -111,6 +113,10 @@ class Tree:
         #: Turns of the conversation added last, and their nodes.
         self.open: list[tuple[tuple[str, str], int]] = []
 
+    def shares(self, turns: list[tuple[str, str]]) -> bool:
+        """Whether a conversation begins as the one added last does."""
+        return bool(turns and self.open) and self.open[0][0] == turns[0]
+
     def add(self, conv_id: int | None, turns: list[tuple[str, str]]) -> None:
         """Emits the turns that the last conversation doesn't share."""
         shared = 0
@@ -170,7 +176,11 @@ def formatted_digests(conversations: DataFrame) -> DataFrame:
     """Packs all conversations, stores the packs, reads them back: one row a conversation.
 
     Columns conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars and
-    loss_sha256 (the learned texts, unescaped, joined), formatted_chars. Without rows there are none.
+    loss_sha256 (the learned texts, unescaped, joined), formatted_chars. A null role or text is an empty
+    one and a turn of its own; a null turn comes first; equal turns, and repeated rows, all stay, in
+    order of role and text; rows with a null conv_id are one conversation. Texts of any length are taken
+    whole, but a conversation must fit into a task. Without rows there are none. Columns besides conv_id,
+    turn, role and text are not read.
     """
     packs = storage.materialize(pack(assemble(conversations)), "packs")
     return map_batches(packs, _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

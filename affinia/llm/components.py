@@ -20,9 +20,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     minimum by key.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
+    spark, before, path = links.sparkSession, None, None
     while True:
-        edges = storage.materialize(_small_star(_large_star(edges)), "round")
+        last, path = path, storage.new_path(links.sparkSession, "round")
+        edges = storage.materialize(_small_star(_large_star(edges)), "round", path=path)
+        if last:
+            storage.discard(spark, last)
         # Equal sums over hashes of all edges in two rounds: nothing moved.
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(state) == before:

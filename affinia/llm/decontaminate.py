@@ -10,7 +10,8 @@ rarest term there, shifted by the term's place in the window, and is intersected
 shifted postings of its other terms, the rarer first. With ``slop`` 0 the matches are exact
 phrases; otherwise each word may lie up to ``slop`` places from its own place.
 
-Test items reach the executors in blocks of at most BLOCK_WORDS words, whatever their number.
+Test items reach the executors in blocks of at most BLOCK_WORDS windows, whatever their number: one
+block is broadcast, searched for, its matches written, and the broadcast destroyed before the next.
 Terms are 64-bit hashes of words.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from affinia import storage
 from affinia.llm import words
 from affinia.llm.memory import map_batches
 
-#: Words of test items that are sent to the executors at once (about 100 bytes each).
+#: Windows of test items that are sent to the executors at once (about 100 bytes each).
 BLOCK_WORDS = 200_000
 #: Places looked at in one step of an intersection.
 STEP = 2_000_000
@@ -181,13 +183,19 @@ def find(index: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0) ->
     slop 0 finds exact phrases; a larger one finds every start from which each word lies within slop
     places of its own, in the same text.
     """
-    parts = [map_batches(index, _finder(index.sparkSession.sparkContext.broadcast(block), slop), "doc_id long, item_id string, first long, last long") for block in blocks(benchmark, n)]
-    if not parts:
-        return index.sparkSession.createDataFrame([], "doc_id long, item_id string, first long, last long")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    schema = "doc_id long, item_id string, first long, last long"
+    parts = _by_block(index, blocks(benchmark, n), lambda block, _: map_batches(index, _finder(block, slop), schema))
+    return reduce(DataFrame.unionAll, parts) if parts else index.sparkSession.createDataFrame([], schema)
+
+
+def _by_block(index: DataFrame, every: Iterator[Block], search_for) -> list[DataFrame]:
+    """The tables that search_for(broadcast block, number) gives; each is written before the next block is sent."""
+    parts = []
+    for k, block in enumerate(every):
+        sent = index.sparkSession.sparkContext.broadcast(block)
+        parts.append(storage.materialize(search_for(sent, k), "matches"))
+        sent.destroy()
+    return parts
 
 
 def _finder(block, slop: int):
@@ -269,18 +277,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
     """One row for each row of documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit if it stands in any occurrence of any n consecutive words of an item, or of a whole
-    item that has fewer. A null text has no words; a null item_id is named as an empty string; rows
-    that repeat a doc_id, or a text, are judged each by itself; an empty benchmark hits nothing.
+    item that has fewer. A null or empty text has no words; texts of any length are taken whole, a very
+    long one as a segment of its own; a null item_id is named as an empty string; items with one item_id
+    count as one; rows that repeat a doc_id, or a text, are judged each by itself; an empty benchmark
+    hits nothing, and without documents there are no rows. Of documents only doc_id and text are read,
+    of the benchmark item_id and text.
     """
-    index, context = build_index(documents), documents.sparkSession.sparkContext
-    parts = [map_batches(index, _marks(context.broadcast(block), k == 0), "segment long, k int, doc_id long, n_words long, runs array<long>, items array<string>") for k, block in enumerate(blocks(benchmark, n))]
-    if not parts:
-        parts = [map_batches(index, _marks(None, True), "segment long, k int, doc_id long, n_words long, runs array<long>, items array<string>")]
+    index = build_index(documents)
+    schema = "segment long, k int, doc_id long, n_words long, runs array<long>, items array<string>"
+    parts = _by_block(index, blocks(benchmark, n), lambda block, k: map_batches(index, _marks(block, k == 0), schema)) or [map_batches(index, _marks(None, True), schema)]
     if len(parts) == 1:
         marks = parts[0].select("doc_id", "n_words", F.array("runs").alias("runs"), F.array("items").alias("items"))
     else:
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionAll(part)
-        marks = every.groupBy("segment", "k").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
+        marks = reduce(DataFrame.unionAll, parts).groupBy("segment", "k").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
     return map_batches(marks, _summed, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

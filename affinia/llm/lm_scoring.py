@@ -160,9 +160,11 @@ def _score(documents: pa.Table, answers: pa.Table) -> pa.Table:
 def cross_entropy_difference(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """Scores every row of documents against a target corpus: those documents whose doc_id is in targets.
 
-    doc_id, n_tokens, target_loss, background_loss (means by word) and score, their difference. A null
-    text has no words, and null losses; a null doc_id is never a target; repeated rows count each time;
-    without targets the target model is the smoothing alone.
+    doc_id, n_tokens, target_loss, background_loss (means by word) and score, their difference. A null or
+    empty text has no words, and null losses; texts of any length are taken whole, one to a task at
+    least; a null doc_id is never a target; repeated rows count each time, and get equal scores; without
+    targets the target model is the smoothing alone; an empty table gives no rows. Of documents doc_id
+    and text are read, of targets doc_id alone.
     """
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))

@@ -144,8 +144,10 @@ def judge(documents: DataFrame) -> DataFrame:
     """One row for each row of documents: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     The base rule fails texts of fewer than 20 words, or with more than 30 % of their words in repeated
-    runs of eight. Other texts are kept unless a measure lies beyond their group's thresholds. Null
-    languages and sources are groups of their own; repeated rows are counted each.
+    runs of eight. Other texts are kept unless a measure lies beyond their group's thresholds; one that
+    equals a threshold is kept. A null or empty text has no words and fails. Null languages and sources
+    are groups of their own; repeated rows are counted each; texts of any length are taken whole, each
+    within its row; an empty table gives no rows. Only doc_id, text, lang and source are read.
     """
     measured = storage.materialize(measures(documents), "measures")
     limits = thresholds(sketches(measured.filter("n_words > 0")))

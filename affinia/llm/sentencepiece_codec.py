@@ -208,9 +208,9 @@ def table(model_file: str) -> PrefixTable:
 
 
 def encode_documents(df: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """Adds ``ids`` (array<int>): the tokens of each text. A null text has none; other columns stay.
+    """Adds ``ids`` (array<int>): the tokens of each text. A null or empty text has none; other columns stay.
 
-    A column already called ``ids`` is replaced.
+    A column already called ``ids`` is replaced. Long texts are taken whole, and no rows give none.
     """
 
     def encoded(batches):
@@ -225,7 +225,10 @@ def encode_documents(df: DataFrame, model_file: str, text: str = "text") -> Data
 
 
 def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", into: str = "text") -> DataFrame:
-    """Adds the text that each row's ids stand for; null ids give an empty text."""
+    """Adds the text that each row's ids stand for; null ids give an empty text.
+
+    A column already called as ``into`` says is replaced; no rows give none.
+    """
 
     def decoded(batches):
         codec = table(model_file)
@@ -240,8 +243,9 @@ def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", into: str = "te
 def round_trip_digests(df: DataFrame, model_file: str) -> DataFrame:
     """Encodes each text, decodes its ids again, and returns doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    One pass without a shuffle. A null or empty text has no tokens and decodes to an empty text;
-    repeated rows and null ids stay as they are; columns besides doc_id and text are not read.
+    One pass without a shuffle. A null or empty text has no tokens and decodes to an empty text; texts of
+    any length are taken whole, in time that grows with their length; repeated rows and null doc_ids stay
+    as they are; an empty table gives no rows; columns besides doc_id and text are not read.
     """
 
     def digests(batches):

@@ -87,7 +87,9 @@ def shards(documents: DataFrame, number: int = 40, key: int = KEY) -> DataFrame:
     Columns doc_id, size (UTF-8 bytes plus 16), text_crc32, law, shard, slot, grown_shard (null: this law
     deals all rows anew for another number of shards). A null text has no bytes; null doc_ids come
     first; rows that repeat a doc_id are numbered by their texts' checksums and sizes, and whole copies
-    may take each other's places. Equal texts are not kept together: that would break the law.
+    may take each other's places. Texts of any length count by size and checksum alone; an empty table
+    gives no rows; columns besides doc_id and text are not read. Equal texts are not kept together: with
+    copies of one text in a third of all rows the shards' counts could not be at most one apart.
     """
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
