@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Folders made by this process and not discarded yet, the oldest first.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,21 +37,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call has been given."""
-    return f"{shared_dir(spark)}/affinia-{uuid.uuid4().hex}/{name}"
+    _made.append(f"{shared_dir(spark)}/affinia-{uuid.uuid4().hex}")
+    return f"{_made[-1]}/{name}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df as Parquet into the shared folder and returns the written table."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder, at a new path or the one given, and returns the written table."""
+    spark, path = df.sparkSession, path or new_path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table written by this module, on whatever file system it lies."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """Deletes a table written by this module with its folder, on whatever file system it lies."""
+    folder = next((f for f in _made if path == f or path.startswith(f + "/")), path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if folder in _made:
+        _made.remove(folder)
+
+
+def mark() -> int:
+    """How many folders there are: see discard_since."""
+    return len(_made)
+
+
+def discard_since(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what was written after mark() gave ``since``, but for paths under ``keep``.
+
+    For tables whose readers are done: a result that was written itself no longer needs what it came from.
+    """
+    for folder in _made[since:]:
+        if not any(k == folder or k.startswith(folder + "/") for k in keep):
+            discard(spark, folder)
 
 
 #: Parquet options for rows of megabytes: pages and row groups are checked at every row, so a task

@@ -79,8 +79,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents and returns the last one's rows."""
+    """Applies all stages to documents and returns the last one's rows; what the stages leave behind is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = storage.mark()
     for name, stage in STAGES:
-        docs = storage.materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        path = storage.new_path(spark, f"pipeline_{name}")
+        docs = storage.materialize(stage(spark, docs, sf_dir), name, path=path)
+        storage.discard_since(spark, since, (path,))
     return docs
