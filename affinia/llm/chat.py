@@ -1,18 +1,19 @@
-"""Conversations formatted into prefix trees.
+"""Conversations formatted and tokenized into prefix trees.
 
 Conversations are put in the order of their turns, so those that share initial turns stand side by
 side. Walking along that order is walking a prefix tree depth first: a turn that the conversation
 shares with the one before it is there already, the others are emitted. Each pack (one training
-sequence) holds the text of its turns once, and for each turn the node above it, its place in the
-pack, the position of its first character counted along its own conversation, and the intervals
-of the pack that it attends to: its ancestors and itself. Once it is PACK_CHARS long, a pack ends where
-a conversation shares nothing with the one before; only a tree that goes on past OVERLONG times that,
-and one that lies across two partitions of the sort, is cut, and the turns shared there are emitted
-once more. So neither a first turn that very many conversations share nor a long run of equal ones
-has to fit into one task.
-
-Units are characters (code points). Control strings inside texts are broken by a backslash, and
-backslashes doubled, so the template's own marks are the only ones, and texts come back unchanged.
+sequence) holds the token ids of its turns once, and for each turn the node above it, its place in the
+pack, the position id of its first token counted along its own conversation, which of its tokens are
+learned, and the intervals of the pack that it attends to: its ancestors and itself. Once it is
+PACK_TOKENS long, a pack ends where a conversation shares nothing with the one before; only a tree that
+goes on past OVERLONG times that, and one that lies across two partitions of the sort, is cut, and the
+turns shared there are emitted once more. So neither a first turn that very many conversations share
+nor a long run of equal ones has to fit into one task.
+
+The template's marks, and the text between them, are tokenized apart, so that tokens are shared, or
+learned, as a whole. Control strings inside texts are broken by a backslash, and backslashes doubled, so
+the template's own marks are the only ones, and texts come back unchanged.
 """
 
 from __future__ import annotations
@@ -20,26 +21,31 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinia import storage
+from affinia.llm import token_files
 from affinia.llm.memory import map_batches
 
 #: Strings that tokenizers treat as control tokens; fixed values. A turn is OPEN role \n text CLOSE.
 CONTROL = ("<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 OPEN, CLOSE = "<s>", "</s>"
-#: The role whose texts are learned, and the characters after which a pack ends when it can.
-LEARNED, PACK_CHARS, OVERLONG = "assistant", 1 << 18, 4
+#: The role whose texts are learned, and the tokens after which a pack ends when it can, and how many times as many it may have.
+LEARNED, PACK_TOKENS, OVERLONG = "assistant", 1 << 16, 4
+#: Conversations tokenized in one call.
+TOGETHER = 100
 
 _breaks = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _back = re.compile(r"\\(\\?)")
 
-NODE = "struct<parent: int, first: int, chars: int, position: int, learn_first: int, learn_chars: int, attends: array<int>>"
-PACK = f"text string, nodes array<{NODE}>, conversations array<struct<conv_id: long, node: int>>"
+NODE = "struct<parent: int, first: int, tokens: int, position: int, learned: boolean, learn_first: int, learn_tokens: int, attends: array<int>>"
+PACK = f"ids array<int>, nodes array<{NODE}>, conversations array<struct<conv_id: long, node: int>>"
 
 
 def escape(text: str) -> str:
@@ -52,9 +58,14 @@ def unescape(text: str) -> str:
     return _back.sub(r"\1", text)
 
 
+def formatted_parts(role: str, text: str) -> tuple[str, str, str]:
+    """One turn under the template: its opening mark and role, its text, its closing mark."""
+    return f"{OPEN}{quote(role, safe='')}\n", escape(text), CLOSE
+
+
 def format_turn(role: str, text: str) -> str:
     """One turn under the template."""
-    return f"{OPEN}{quote(role, safe='')}\n{escape(text)}{CLOSE}"
+    return "".join(formatted_parts(role, text))
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -80,90 +91,136 @@ def assemble(conversations: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.transform(turns, lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
 
 
-def pack(conversations: DataFrame) -> DataFrame:
+class Codec:
+    """Token ids of texts and texts of token ids, for a byte-level vocabulary."""
+
+    def __init__(self, tokenizer_file: str):
+        self.encoder = token_files.encoder(tokenizer_file)
+        if not self.encoder.pieces:
+            raise ValueError("only a byte-level vocabulary gives texts back unchanged")
+        # Byte-level vocabularies write bytes without a printable character as characters from U+0100 on.
+        shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+        library = self.encoder.library
+        tokens = [library.id_to_token(i) or "" for i in range(library.get_vocab_size())]
+        self.bytes_of = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in tokens]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        data = [t.encode() for t in texts]
+        ids, number = self.encoder.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        ends = np.cumsum(number).tolist()
+        ids = ids.tolist()
+        return [ids[end - n : end] for end, n in zip(ends, number.tolist(), strict=True)]
+
+    def decode(self, ids: list[int]) -> str:
+        """The text that ids stand for."""
+        return b"".join([self.bytes_of[i] for i in ids]).decode()
+
+
+@lru_cache(maxsize=2)
+def codec(tokenizer_file: str) -> Codec:
+    """The codec of a vocabulary file, made once in each worker."""
+    return Codec(tokenizer_file)
+
+
+def pack(conversations: DataFrame, tokenizer_file: str) -> DataFrame:
     """The packs (columns PACK) of all conversations, one row each, from a table like assemble() gives."""
     path = F.transform("turns", lambda t: F.xxhash64(t.role, t.text))  # only orders; turns are compared themselves
     ordered = conversations.withColumn("path", path).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
-    return map_batches(ordered.select("conv_id", "turns"), _packs, PACK)
-
-
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("text", pa.string()), ("nodes", pa.list_(pa.struct([(n, pa.int32()) for n in ("parent", "first", "chars", "position", "learn_first", "learn_chars")] + [("attends", pa.list_(pa.int32()))]))), ("conversations", pa.list_(pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])))])
-    tree = Tree()
-    for batch in batches:
-        for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            turns = [(t["role"], t["text"]) for t in turns.as_py()]
-            long = max(tree.length, len(tree.conversations)) // PACK_CHARS
-            if long >= OVERLONG or (long and not tree.shares(turns)):
-                yield pa.RecordBatch.from_pylist([tree.row()], schema)
-                tree = Tree()
-            tree.add(conv_id, turns)
-    if tree.conversations:
-        yield pa.RecordBatch.from_pylist([tree.row()], schema)
+    schema = pa.schema([("ids", pa.list_(pa.int32())), ("nodes", pa.list_(pa.struct([(n, pa.bool_() if n == "learned" else pa.int32()) for n in ("parent", "first", "tokens", "position", "learned", "learn_first", "learn_tokens")] + [("attends", pa.list_(pa.int32()))]))), ("conversations", pa.list_(pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])))])
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, use = Tree(), codec(tokenizer_file)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = [(i, [(t["role"], t["text"]) for t in turns]) for i, turns in zip(*(batch.column(c).slice(at, TOGETHER).to_pylist() for c in (0, 1)), strict=True)]
+                parts = {p: None for _, turns in some for role, text in turns for p in formatted_parts(role, text)}
+                ids = dict(zip(parts, use.encode(list(parts)), strict=True))
+                for conv_id, turns in some:
+                    long = max(tree.length, len(tree.conversations)) // PACK_TOKENS
+                    if long >= OVERLONG or (long and not tree.shares(turns)):
+                        yield pa.RecordBatch.from_pylist([tree.row()], schema)
+                        tree = Tree()
+                    tree.add(conv_id, turns, ids)
+        if tree.conversations:
+            yield pa.RecordBatch.from_pylist([tree.row()], schema)
+        use.encoder.forget()
+
+    return map_batches(ordered.select("conv_id", "turns"), packs, PACK)
 
 
 class Tree:
     """A pack under construction; conversations come in an order that keeps shared beginnings together."""
 
     def __init__(self):
-        self.parts: list[str] = []
+        self.ids: list[int] = []
         self.nodes: list[dict] = []
         self.conversations: list[dict] = []
-        self.length = 0
         #: Turns of the conversation added last, and their nodes.
         self.open: list[tuple[tuple[str, str], int]] = []
 
+    @property
+    def length(self) -> int:
+        return len(self.ids)
+
     def shares(self, turns: list[tuple[str, str]]) -> bool:
         """Whether a conversation begins as the one added last does."""
         return bool(turns and self.open) and self.open[0][0] == turns[0]
 
-    def add(self, conv_id: int | None, turns: list[tuple[str, str]]) -> None:
-        """Emits the turns that the last conversation doesn't share."""
+    def add(self, conv_id: int | None, turns: list[tuple[str, str]], ids: dict[str, list[int]]) -> None:
+        """Emits the turns that the last conversation doesn't share; ids has those of each formatted part."""
         shared = 0
         while shared < min(len(turns), len(self.open)) and self.open[shared][0] == turns[shared]:
             shared += 1
         del self.open[shared:]
         for role, text in turns[shared:]:
             above = self.open[-1][1] if self.open else -1
-            formatted = format_turn(role, text)
-            before = len(formatted) - len(CLOSE) - len(escape(text))
-            last = self.nodes[above] if above >= 0 else {"position": 0, "chars": 0, "attends": []}
+            head, body, tail = (ids[p] for p in formatted_parts(role, text))
+            first, size = self.length, len(head) + len(body) + len(tail)
+            last = self.nodes[above] if above >= 0 else {"position": 0, "tokens": 0, "attends": []}
             attends = list(last["attends"])
-            if attends and attends[-1] == self.length:  # intervals are merged where they touch
-                attends[-1] += len(formatted)
+            if attends and attends[-1] == first:  # intervals are merged where they touch
+                attends[-1] += size
             else:
-                attends += [self.length, self.length + len(formatted)]
+                attends += [first, first + size]
             learned = role == LEARNED
-            self.nodes.append({"parent": above, "first": self.length, "chars": len(formatted), "position": last["position"] + last["chars"], "learn_first": self.length + before, "learn_chars": len(formatted) - before - len(CLOSE) if learned else 0, "attends": attends})
+            self.nodes.append({"parent": above, "first": first, "tokens": size, "position": last["position"] + last["tokens"], "learned": learned, "learn_first": first + len(head), "learn_tokens": len(body) if learned else 0, "attends": attends})
             self.open.append(((role, text), len(self.nodes) - 1))
-            self.parts.append(formatted)
-            self.length += len(formatted)
+            for part in (head, body, tail):
+                self.ids.extend(part)
         self.conversations.append({"conv_id": conv_id, "node": self.open[-1][1] if self.open else -1})
 
     def row(self) -> dict:
-        return {"text": "".join(self.parts), "nodes": self.nodes, "conversations": self.conversations}
+        return {"ids": self.ids, "nodes": self.nodes, "conversations": self.conversations}
+
+
+def position_ids(row: dict) -> list[int]:
+    """The position id of each token of a pack."""
+    return [n["position"] + k for n in row["nodes"] for k in range(n["tokens"])]
 
 
-def conversations_of(row: dict) -> Iterator[tuple[int | None, str, list[str]]]:
-    """From a pack: conv_id, the formatted conversation as its last turn attends to it, and the learned pieces of it."""
-    text, nodes = row["text"], row["nodes"]
+def conversations_of(row: dict, decode) -> Iterator[tuple[int | None, str, list[str]]]:
+    """From a pack: conv_id, the formatted conversation as its last turn attends to it, and the learned texts of it."""
+    ids, nodes = row["ids"], row["nodes"]
     for c in row["conversations"]:
         learned: list[str] = []
         at = c["node"]
         attends = nodes[at]["attends"] if at >= 0 else []
         while at >= 0:
             node = nodes[at]
-            if node["learn_chars"] or text[node["first"] : node["learn_first"]] == f"{OPEN}{LEARNED}\n":
-                learned.append(text[node["learn_first"] : node["learn_first"] + node["learn_chars"]])
+            if node["learned"]:
+                learned.append(decode(ids[node["learn_first"] : node["learn_first"] + node["learn_tokens"]]))
             at = node["parent"]
-        yield c["conv_id"], "".join(text[attends[k] : attends[k + 1]] for k in range(0, len(attends), 2)), learned[::-1]
+        yield c["conv_id"], decode([i for k in range(0, len(attends), 2) for i in ids[attends[k] : attends[k + 1]]]), learned[::-1]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], tokenizer_file: str) -> Iterator[pa.RecordBatch]:
+    decode = codec(tokenizer_file).decode
     for batch in batches:
         for k in range(batch.num_rows):
             out: dict[str, list] = {n: [] for n in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
-            for conv_id, formatted, learned in conversations_of(batch.slice(k, 1).to_pylist()[0]):
+            for conv_id, formatted, learned in conversations_of(batch.slice(k, 1).to_pylist()[0], decode):
                 turns = parse(formatted)
                 loss = "".join(unescape(x) for x in learned)
                 said = "".join(f"{role}\n{text}\n" for role, text in turns)
@@ -172,7 +229,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(out, pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
 
 
-def formatted_digests(conversations: DataFrame) -> DataFrame:
+def formatted_digests(conversations: DataFrame, tokenizer_file: str) -> DataFrame:
     """Packs all conversations, stores the packs, reads them back: one row a conversation.
 
     Columns conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars and
@@ -182,5 +239,5 @@ def formatted_digests(conversations: DataFrame) -> DataFrame:
     whole, but a conversation must fit into a task. Without rows there are none. Columns besides conv_id,
     turn, role and text are not read.
     """
-    packs = storage.materialize(pack(assemble(conversations)), "packs")
-    return map_batches(packs, _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    packs = storage.materialize(pack(assemble(conversations), tokenizer_file), "packs")
+    return map_batches(packs, lambda batches: _digests(batches, tokenizer_file), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
