@@ -1,6 +1,7 @@
 """Text normalization as column expressions.
 
-Everything here is native but ``nfkc_casefold``: Spark has no function for Unicode normal forms.
+Everything here runs in the JVM but ``nfkc_casefold``, which SQL users can register. Spark has no function
+for Unicode normal forms; ICU, which it ships, is called for texts beyond ASCII.
 """
 
 from __future__ import annotations
@@ -43,14 +44,25 @@ def folded(text: Column) -> Column:
     return F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
 
 
+def nfkc_folded(text: Column) -> Column:
+    """NFKC, then full case folding; null is empty. Texts in ASCII are lower-cased alone.
+
+    A call by reflection is never merged with or moved past a filter, so filter first.
+    """
+    text = F.coalesce(text, F.lit(""))
+    composed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    folded_text = F.call_function("reflect", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded_text)
+
+
 def collapsed(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def normalized(text: Column, unicode: bool = False) -> Column:
-    """Names and addresses: folded, letters, digits and marks kept, all else a space. unicode: with NFKC, in Python."""
-    text = nfkc_casefold(text) if unicode else folded(text)
+def normalized(text: Column, unicode: bool = True) -> Column:
+    """Names and addresses: NFKC (unless unicode is False), folded; letters, digits and marks kept, all else a space."""
+    text = nfkc_folded(text) if unicode else folded(text)
     return F.trim(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}\p{M}]+", " "))
 
 
@@ -119,7 +131,7 @@ def without_misreadings(name: Column) -> Column:
     return F.array_join(fixed, " ")
 
 
-def normalized_record(name: Column, address: Column, country: Column, unicode: bool = False) -> dict[str, Column]:
+def normalized_record(name: Column, address: Column, country: Column, unicode: bool = True) -> dict[str, Column]:
     """The 14 columns of a normalized record."""
     n, a = normalized(name, unicode), normalized(address, unicode)
     return {

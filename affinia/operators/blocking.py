@@ -118,23 +118,49 @@ def recall(candidates: DataFrame, truth: DataFrame, n_source1: int) -> DataFrame
 
 
 def variant_report(records: DataFrame, truth: DataFrame, names: tuple[str, ...] = tuple(VARIANTS)) -> DataFrame:
-    """Recall and volume of each variant, in one table: variant, truth_pairs, recovered_pairs, total_candidates.
+    """Recall and volume of each variant, and how they differ from the first one's.
 
-    All variants' keys are exploded together, so records are read and pairs are grouped once.
+    Columns variant, truth_pairs, recovered_pairs, candidate_recall, total_candidates,
+    avg_candidates_per_source1, recall_delta, candidates_delta. Every version of a key is computed once
+    and joined once; a pair then carries the versions it shares as bits, and each variant asks for its own.
     """
-    keyed = None
-    for name in names:
-        part = with_keys(records, VARIANTS[name]).select(F.lit(name).alias("variant"), "entity_id", "source", "block_country", *BLOCKS)
-        keyed = part if keyed is None else keyed.unionAll(part)
-    pairs = F.array(*[F.struct(F.lit(b).alias("block"), F.col(b).alias("value")) for b in BLOCKS])
-    rows = keyed.select("variant", "entity_id", "source", "block_country", F.explode(pairs).alias("k")).select("variant", "entity_id", "source", "block_country", "k.block", "k.value").filter("value <> ''")
-    on = ["variant", "block", "block_country", "value"]
+    versions = {(b, _version(VARIANTS[n], b)): n for n in names for b in BLOCKS}
+    made = {f"{b}_{v}": key_columns(VARIANTS[n])[b] for (b, v), n in versions.items()}
+    keyed = records.select("entity_id", "source", X.folded(F.trim(F.coalesce("country", F.lit("")))).alias("block_country"), *[c.alias(k) for k, c in made.items()])
+    pairs = F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.col(k).alias("value")) for i, k in enumerate(made)])
+    rows = keyed.select("entity_id", "source", "block_country", F.explode(pairs).alias("k")).select("entity_id", "source", "block_country", "k.bit", "k.value").filter("value <> ''")
+    on = ["bit", "block_country", "value"]
     left = rows.filter("source = 1").select(F.col("entity_id").alias("source1_entity_id"), *on)
     right = rows.filter("source > 1").select(F.col("entity_id").alias("target_entity_id"), *on)
-    found = left.join(right, on).select("variant", "source1_entity_id", "target_entity_id").distinct()
+    found = left.join(right, on).groupBy("source1_entity_id", "target_entity_id").agg(F.bit_or("bit").alias("bits"))
     marked = found.join(truth.withColumn("hit", F.lit(1)), ["source1_entity_id", "target_entity_id"], "left")
-    counted = marked.groupBy("variant").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("recovered_pairs"), F.count("*").alias("total_candidates"))
-    return counted.join(truth.agg(F.count("*").alias("truth_pairs")), how="cross").select("variant", "truth_pairs", "recovered_pairs", "total_candidates")
+    place = {k: i for i, k in enumerate(made)}
+    masks = {n: sum(1 << place[f"{b}_{_version(VARIANTS[n], b)}"] for b in BLOCKS) for n in names}
+    shares = {n: F.col("bits").bitwiseAND(F.lit(m)) != 0 for n, m in masks.items()}
+    sums = marked.agg(*[F.count_if(c).alias(f"{n}_all") for n, c in shares.items()], *[F.count_if(c & F.col("hit").isNotNull()).alias(f"{n}_hit") for n, c in shares.items()])
+    # Single rows side by side.
+    sizes = sums.join(truth.agg(F.count("*").alias("truth_pairs")), how="cross").join(records.filter("source = 1").agg(F.count("*").alias("n_source1")), how="cross")
+    listed = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(f"{n}_hit").alias("recovered_pairs"), F.col(f"{n}_all").alias("total_candidates")) for n in names])
+    each = sizes.select("truth_pairs", "n_source1", listed[0].alias("base"), F.explode(listed).alias("v"))
+
+    def share(recovered: Column) -> Column:
+        return F.when(F.col("truth_pairs") > 0, recovered / F.col("truth_pairs")).otherwise(1.0)
+
+    return each.select(
+        "v.variant",
+        "truth_pairs",
+        "v.recovered_pairs",
+        share(F.col("v.recovered_pairs")).alias("candidate_recall"),
+        "v.total_candidates",
+        (F.col("v.total_candidates") / F.nullif("n_source1", F.lit(0))).alias("avg_candidates_per_source1"),
+        (share(F.col("v.recovered_pairs")) - share(F.col("base.recovered_pairs"))).alias("recall_delta"),
+        (F.col("v.total_candidates") - F.col("base.total_candidates")).alias("candidates_delta"),
+    )
+
+
+def _version(variant: Variant, block: str) -> str:
+    """Which version of a block's key family a variant uses."""
+    return {"address_number": variant.number, "address_first": variant.address}.get(block, variant.name)
 
 
 def missed_pairs(candidates: DataFrame, truth: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from affinia.operators import blocking
 from affinia.operators.pairs import one_to_one
 
 _TEXT = ("ratio", "wratio", "token_sort_ratio", "token_set_ratio", "exact", "length_diff", "length_ratio", "token_count_diff")
-#: The primary profile's columns.
+#: The primary profile's columns; names that must be these, as all in this module are.
 BASE = (
     *(f"name_{x}" for x in _TEXT),
     *(f"address_{x}" for x in _TEXT),
@@ -52,13 +52,15 @@ ABLATIONS = {
 _PAIR = ["entity_id", "target_entity_id"]
 
 
-def prepared(records: DataFrame, unicode: bool = False) -> DataFrame:
+def prepared(records: DataFrame, unicode: bool = True) -> DataFrame:
     """Records with all that the features need of one side, made before any pair is."""
     name, address, country = (X.stripped(F.col(c), blank_nan=True) for c in ("business_name", "business_address", "country"))
     base = records.select("entity_id", name.alias("name"), address.alias("address"), F.lower(country).alias("country"))
     with_norm = base.withColumns({"norm_name": X.normalized(F.col("name"), unicode), "norm_address": X.normalized(F.col("address"), unicode)})
     return with_norm.withColumns(
         {
+            "folded_name": X.nfkc_folded(F.col("name")) if unicode else X.folded(F.col("name")),
+            "folded_address": X.nfkc_folded(F.col("address")) if unicode else X.folded(F.col("address")),
             "name_no_suffix": X.without_legal_suffix(F.col("norm_name")),
             "suffix": X.legal_suffix(F.col("norm_name")),
             "suffixless_name": X.without_legal_word(F.col("norm_name")),
@@ -74,7 +76,7 @@ def prepared(records: DataFrame, unicode: bool = False) -> DataFrame:
     )
 
 
-def paired(pairs: DataFrame, records: DataFrame, unicode: bool = False) -> DataFrame:
+def paired(pairs: DataFrame, records: DataFrame, unicode: bool = True) -> DataFrame:
     """pairs (entity_id, target_entity_id, ...) with the prepared columns of both sides as a_... and b_..."""
     sides = prepared(records, unicode)
     a = sides.select(F.col("entity_id"), *[F.col(c).alias("a_" + c) for c in sides.columns if c != "entity_id"])
@@ -111,7 +113,7 @@ def _with_ratios(rows: DataFrame, columns: dict[str, tuple[str, tuple[str, ...]]
     return scored.withColumns({f"{p}_{n}": F.col(f"_{p}.{n}") for p, (_, names) in columns.items() for n in names}).drop(*[f"_{p}" for p in columns])
 
 
-def base_features(pairs: DataFrame, records: DataFrame, target_source: Column | None = None, unicode: bool = False) -> DataFrame:
+def base_features(pairs: DataFrame, records: DataFrame, target_source: Column | None = None, unicode: bool = True) -> DataFrame:
     """pairs with the BASE columns. target_source: S2 or S3; by default the beginning of target_entity_id."""
     source = F.upper(target_source if target_source is not None else F.substring("target_entity_id", 1, 2))
     every = similarity.RATIOS
@@ -128,12 +130,12 @@ def base_features(pairs: DataFrame, records: DataFrame, target_source: Column |
     return rows.withColumns(native).select(*pairs.columns, *BASE)
 
 
-def alternative_features(pairs: DataFrame, records: DataFrame, target_source: Column | None = None, unicode: bool = False) -> DataFrame:
+def alternative_features(pairs: DataFrame, records: DataFrame, target_source: Column | None = None, unicode: bool = True) -> DataFrame:
     """pairs with the ALTERNATIVE columns: empty equals empty, word counts and numbers of normalized text."""
     source = F.lower(target_source if target_source is not None else F.substring("target_entity_id", 1, 2))
     every = similarity.RATIOS
     rows = _with_ratios(paired(pairs, records, unicode), {"raw_name": ("name", every), "raw_address": ("address", every), "norm_name": ("norm_name", every), "norm_address": ("norm_address", every), "suffixless_name": ("suffixless_name", every[:2])}, guarded=True)
-    folded = {c: _flag(X.folded(F.col("a_" + c)) == X.folded(F.col("b_" + c))) for c in ("name", "address")}
+    folded = {c: _same(f"folded_{c}") for c in ("name", "address")}
     present = (F.col("a_address") != "") & (F.col("b_address") != "")
     native = {
         "raw_name_exact": folded["name"], "raw_address_exact": folded["address"], "norm_name_exact": _same("norm_name"), "norm_address_exact": _same("norm_address"), "suffixless_name_exact": _same("suffixless_name"),

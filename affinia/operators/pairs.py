@@ -45,14 +45,15 @@ def _drawn(*columns: Column | str, seed: int) -> Column:
 def random_negatives(source1: DataFrame, targets: DataFrame, truth: DataFrame, take: dict[int, int], seed: int = SEED) -> DataFrame:
     """For each source1 record, take[source] targets of each source by lot, true pairs left out.
 
-    Targets are dealt to buckets of about BUCKET by lot. A record's own lot names two neighbouring buckets,
-    and it takes from these: no record is compared with all targets, and no source is sorted as a whole.
+    Targets are dealt to buckets of about BUCKET by lot. A record's own lot names neighbouring buckets, two
+    or as many more as hold twice what it takes, and it takes from these: no record is compared with all
+    targets, and no source is sorted as a whole.
     """
     counts = {r["source"]: r["n"] for r in targets.groupBy("source").agg(F.count("*").alias("n")).collect()}
     kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(n).alias("n"), F.lit(max(1, counts.get(s, 0) // BUCKET)).cast("long").alias("buckets")) for s, n in take.items()]))
     want = source1.select(F.col("entity_id").alias("source1_entity_id"), kinds.alias("k")).select("source1_entity_id", "k.*")
     first = F.pmod(_drawn("source1_entity_id", F.col("source").cast("string"), seed=seed), F.col("buckets"))
-    asked = want.withColumn("first", first).select("source1_entity_id", "source", "n", F.explode(F.array_distinct(F.array("first", (F.col("first") + 1) % F.col("buckets")))).alias("bucket"))
+    asked = want.withColumn("first", first).select("source1_entity_id", "source", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), 1 + (F.col("n") * 2 / BUCKET).cast("long")), lambda k: (F.col("first") + k) % F.col("buckets")))).alias("bucket"))
     number = F.coalesce(*[F.when(F.col("source") == s, F.lit(max(1, counts.get(s, 0) // BUCKET))) for s in take], F.lit(1)).cast("long")
     dealt = targets.select("source", F.pmod(_drawn("entity_id", seed=seed), number).alias("bucket"), F.col("entity_id").alias("target_entity_id"))
     met = asked.join(dealt, ["source", "bucket"]).join(truth, PAIR, "left_anti")
@@ -91,8 +92,21 @@ def split_by_share(entities: DataFrame, test_percent: int = 20, seed: int = SEED
 
 
 def stratified_split(pairs: DataFrame, test_percent: int = 20, seed: int = SEED) -> DataFrame:
-    """Rows split by lot, about the same share of each label; an entity may be on both sides."""
-    return pairs.withColumn("split", F.when(F.pmod(_drawn(*PAIR, seed=seed), F.lit(100)) < test_percent, "test").otherwise("train"))
+    """Rows split by lot with the same share of each label: of n rows floor(n * test_percent / 100) go to test.
+
+    An entity may be on both sides. Where the cut lies follows from counts of the lot's first 16 bits by
+    label; only rows that share these with the cut are ranked, so no label is sorted as a whole.
+    """
+    drawn = pairs.withColumn("lot", lot(*PAIR, seed=seed)).withColumn("bin", F.substring("lot", 1, 4))
+    label = Window.partitionBy("label")
+    bins = drawn.groupBy("label", "bin").agg(F.count("*").alias("rows"))
+    upto = bins.withColumns({"before": F.sum("rows").over(label.orderBy("bin")) - F.col("rows"), "take": F.floor(F.sum("rows").over(label) * test_percent / 100)})
+    cut = upto.select("label", "bin", (F.col("take") - F.col("before")).alias("left"), "rows")
+    placed = drawn.join(cut, ["label", "bin"])
+    whole = placed.filter("left <= 0 or left >= rows").withColumn("split", F.when(F.col("left") > 0, "test").otherwise("train"))
+    rank = F.row_number().over(Window.partitionBy("label", "bin").orderBy("lot", *PAIR))
+    parted = placed.filter("left > 0 and left < rows").withColumn("split", F.when(rank <= F.col("left"), "test").otherwise("train"))
+    return whole.unionByName(parted).select(*pairs.columns, "split")
 
 
 def first_category(pairs: DataFrame, priority: list[str]) -> DataFrame:
@@ -114,7 +128,7 @@ def hard_score() -> Column:
 
 
 def hard_buckets() -> dict[str, Column]:
-    """Kinds of hard negatives by their features, in order of priority."""
+    """Kinds of hard negatives by their features, in order of priority. Names and limits are fixed values."""
     name, address = F.col("norm_name_ratio"), F.col("norm_address_ratio")
     return {
         "A_high_name_bad_address": (name >= 85) & (address <= 70),
@@ -138,7 +152,7 @@ def hard_negative_dataset(features: DataFrame, hard: int = 40_000, total: int =
 
 
 def target_categories(version: int = 3) -> dict[str, Column]:
-    """Kinds of near misses by name_sim and address_sim; a pair may be of several."""
+    """Kinds of near misses by name_sim and address_sim; a pair may be of several. Names and limits are fixed values."""
     name, address = F.col("name_sim"), F.col("address_sim")
     out = {
         "similar_name": name >= 90,
@@ -174,9 +188,15 @@ def top_by_score(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 
 def danger_zones(name: str = "name_sim", address: str = "address_sim") -> dict[str, Column]:
-    """Zones of negatives that a threshold on similarity would let through."""
+    """Zones of negatives that a threshold on similarity would let through; a pair may be in several. Fixed values."""
     n, a = F.col(name), F.col(address)
-    return {"both_90": (n >= 90) & (a >= 90), "both_80": (n >= 80) & (a >= 80), "name_95_address_50": (n >= 95) & (a < 50), "name_50_address_95": (n < 50) & (a >= 95), "mean_85": n * 0.6 + a * 0.4 >= 85}
+    return {
+        "name_80_address_80": (n >= 80) & (a >= 80),
+        "name_90_address_below_60": (n >= 90) & (a < 60),
+        "name_below_60_address_80": (n < 60) & (a >= 80),
+        "name_below_40_address_70": (n < 40) & (a >= 70),
+        "name_80_address_below_40": (n >= 80) & (a < 40),
+    }
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:

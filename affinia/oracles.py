@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from affinia.functions import address, text
+from affinia.functions import address, scripts, text
 from affinia.queries import NAMES
 
 
@@ -102,7 +102,7 @@ def counts(predicted: str) -> str:
   LEFT JOIN (SELECT s.source1_entity_id, count(*) AS n, count(t.target_entity_id) AS tp FROM sel s LEFT JOIN truth t USING (source1_entity_id, target_entity_id) GROUP BY 1) p ON p.source1_entity_id = e.entity_id)"""
 
 
-CLOSE = "close AS (SELECT source1_entity_id, target_entity_id, a.business_name AS x, b.business_name AS y, a.business_address AS xa, b.business_address AS ya FROM cand JOIN ent a ON a.entity_id = source1_entity_id JOIN ent b ON b.entity_id = target_entity_id WHERE n_blocks >= 2)"
+CLOSE = "close AS (SELECT source1_entity_id, target_entity_id, a.business_name AS x, b.business_name AS y, a.business_address AS xa, b.business_address AS ya FROM cand JOIN ent a ON a.entity_id = source1_entity_id JOIN ent b ON b.entity_id = target_entity_id)"
 
 
 def lcs(a: str, b: str) -> str:
@@ -116,6 +116,36 @@ def ratio(a: str, b: str) -> str:
     return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 ELSE 200.0 * coalesce({lcs(a, b)}, 0) / (length({a}) + length({b})) END"
 
 
+def partial_ratio(a: str, b: str) -> str:
+    """The best ratio of the shorter with a stretch of the longer text."""
+
+    def best(s: str, t: str) -> str:
+        stretch = f"substr({t}, greatest(st, 0) + 1, length({s}) + least(st, 0))"
+        return f"list_max(list_transform(range(1 - length({s}), length({t})), lambda st: {ratio(s, stretch)}))"
+
+    return f"""CASE WHEN {a} = '' AND {b} = '' THEN 100.0 WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN contains({a}, {b}) OR contains({b}, {a}) THEN 100.0
+      WHEN length({a}) = length({b}) THEN greatest({best(a, b)}, {best(b, a)}) WHEN length({a}) < length({b}) THEN {best(a, b)} ELSE {best(b, a)} END"""
+
+
+def measured(name: str, rows: str, x: str, y: str, guarded: bool = False) -> str:
+    """CTEs: the four ratios of the distinct pairs of texts x and y of rows, as columns of the table ``name``."""
+    n, words = name, "list_filter(string_split({}, ' '), lambda t: t <> '')"
+    rest = "array_to_string(list_sort(list_filter({}, lambda t: NOT list_contains({}, t))), ' ')"
+    far = "greatest(length(x), length(y)) / least(length(x), length(y))"
+    weight = "CASE WHEN far <= 8 THEN 0.9 ELSE 0.6 END"
+    parts = f"CASE WHEN s > 0 THEN 100.0 WHEN len(p) < len(tx) OR len(q) < len(ty) THEN greatest({partial_ratio('sx', 'sy')}, {partial_ratio('dx', 'dy')}) ELSE {partial_ratio('sx', 'sy')} END"
+    guard = "WHEN x = '' AND y = '' THEN 100.0 WHEN x = '' OR y = '' THEN 0.0" if guarded else "WHEN false THEN 0.0"
+    return f"""{n}_p AS (SELECT DISTINCT {x} AS x, {y} AS y FROM {rows}),
+  {n}_s AS (SELECT x, y, {words.format('x')} AS tx, {words.format('y')} AS ty FROM {n}_p),
+  {n}_t AS (SELECT *, list_distinct(tx) AS p, list_distinct(ty) AS q, array_to_string(list_sort(tx), ' ') AS sx, array_to_string(list_sort(ty), ' ') AS sy FROM {n}_s),
+  {n}_u AS (SELECT *, array_to_string(list_sort(p), ' ') AS dx, array_to_string(list_sort(q), ' ') AS dy, length(array_to_string(list_intersect(p, q), ' ')) AS s, {rest.format('p', 'q')} AS u, {rest.format('q', 'p')} AS v FROM {n}_t),
+  {n}_w AS (SELECT *, s + CAST(s > 0 AS INT) + length(u) AS m, s + CAST(s > 0 AS INT) + length(v) AS n, coalesce({lcs('u', 'v')}, 0) AS c, {ratio('x', 'y')} AS r, {ratio('sx', 'sy')} AS ts, CASE WHEN x = '' OR y = '' THEN 0 ELSE {far} END AS far FROM {n}_u),
+  {n}_v AS (SELECT *, CASE WHEN len(p) = 0 OR len(q) = 0 THEN 0.0 WHEN s > 0 AND (u = '' OR v = '') THEN 100.0
+    ELSE greatest(100.0 - 100.0 * (length(u) + length(v) - 2 * c) / (m + n), CASE WHEN s > 0 THEN greatest(100.0 - 100.0 * (m - s) / (s + m), 100.0 - 100.0 * (n - s) / (s + n)) ELSE 0.0 END) END AS tset FROM {n}_w),
+  {n} AS MATERIALIZED (SELECT x, y, CASE {guard} ELSE r END AS ratio, CASE {guard} ELSE ts END AS token_sort_ratio, CASE {guard} ELSE tset END AS token_set_ratio,
+    CASE {guard} WHEN x = '' OR y = '' THEN 0.0 WHEN far < 1.5 THEN greatest(r, 0.95 * greatest(ts, tset)) ELSE greatest(r, {weight} * {partial_ratio('x', 'y')}, 0.95 * {weight} * ({parts})) END AS wratio FROM {n}_v)"""
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -124,6 +154,179 @@ def _names() -> str:
     return "(VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") v(name)"
 
 
+SIMILAR = "sim AS (SELECT source1_entity_id, target_entity_id, nm.ratio AS name_sim, am.token_set_ratio AS address_sim FROM close JOIN nm ON nm.x = close.x AND nm.y = close.y JOIN am ON am.x = xa AND am.y = ya)"
+UNTRUE = "untrue AS (SELECT s.* FROM sim s WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.source1_entity_id = s.source1_entity_id AND t.target_entity_id = s.target_entity_id))"
+
+
+def _similar_oracles() -> dict[str, str]:
+    """Queries over the similarities of names and addresses."""
+    out = {}
+    judged = (ENT, TRUTH, candidates("ALL_V2"), CLOSE, measured("nm", "close", "x", "y"), measured("am", "close", "xa", "ya"), SIMILAR, UNTRUE)
+    out["wratio_pairs"] = _with(ENT, candidates("ALL_V2"), CLOSE, measured("nm", "close", "x", "y")) + "SELECT source1_entity_id, target_entity_id, round(wratio, 6) AS wratio FROM close JOIN nm ON nm.x = close.x AND nm.y = close.y"
+    out["similarity_categories"] = _with(*judged) + """SELECT CASE WHEN name_sim >= 85 AND address_sim >= 80 THEN 'high_name_high_address' WHEN name_sim >= 85 AND address_sim < 80 THEN 'high_name_low_address' WHEN name_sim < 60 AND address_sim >= 80 THEN 'low_name_high_address'
+  WHEN name_sim < 60 AND address_sim < 60 THEN 'low_name_low_address' ELSE 'mixed_similarity' END AS category, count(*) AS n, count(*) FILTER (WHERE name_sim >= 85 OR address_sim >= 90) AS sure FROM sim GROUP BY 1"""
+    zones = {"name_80_address_80": "name_sim >= 80 AND address_sim >= 80", "name_90_address_below_60": "name_sim >= 90 AND address_sim < 60", "name_below_60_address_80": "name_sim < 60 AND address_sim >= 80", "name_below_40_address_70": "name_sim < 40 AND address_sim >= 70", "name_80_address_below_40": "name_sim >= 80 AND address_sim < 40"}
+    mean = "name_sim * 0.6 + address_sim * 0.4"
+    out["hard_negative_zones"] = _with(*judged) + f"SELECT country, count(*) AS n, round(avg({mean}), 2) AS mean, round(median({mean}), 2) AS median, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {z}" for z, c in zones.items()) + " FROM untrue JOIN ent ON entity_id = source1_entity_id GROUP BY 1"
+    kinds = {"similar_name": "name_sim >= 90", "similar_address": "address_sim >= 80", "name_address": "name_sim >= 90 AND address_sim >= 80", "same_name_diff_address": "name_sim >= 95 AND address_sim < 70", "same_address_diff_name": "address_sim >= 90 AND name_sim < 70"}
+    more = kinds | {"name_strong_address_weak": "name_sim >= 90 AND address_sim < 50", "address_strong_name_weak": "address_sim >= 90 AND name_sim < 50"}
+    for name, kind in (("targeted_negatives", more), ("targeted_negatives_v2", kinds)):
+        each = " UNION ALL ".join(f"SELECT source1_entity_id, target_entity_id, '{k}' AS category, {i} AS place FROM untrue WHERE {c}" for i, (k, c) in enumerate(kind.items()))
+        drawn = "row_number() OVER (PARTITION BY category ORDER BY md5('42|' || source1_entity_id || '|' || target_entity_id), source1_entity_id, target_entity_id)"
+        out[name] = _with(*judged, f"k AS ({each})", f"d AS (SELECT *, {drawn} AS r FROM k)") + "SELECT source1_entity_id, target_entity_id, arg_min(category, place) AS category FROM d WHERE r <= 50 GROUP BY 1, 2"
+    score = f"round({mean}, 6)"
+    out["discovery_scores"] = _with(*judged) + f"SELECT source1_entity_id, target_entity_id, score FROM (SELECT *, {score} AS score, row_number() OVER (PARTITION BY source1_entity_id ORDER BY {score} DESC, target_entity_id) AS r FROM untrue) WHERE r <= 3"
+    return out
+
+
+def _script(x: str) -> str:
+    has = {"l": rf"regexp_matches({x}, '\p{{Latin}}')", "d": rf"regexp_matches({x}, '\p{{Devanagari}}')", "o": rf"regexp_matches(regexp_replace(regexp_replace({x}, '[^\p{{L}}]', '', 'g'), '[\p{{Latin}}\p{{Devanagari}}]', '', 'g'), '\p{{L}}')"}
+    number = " + ".join(f"CAST({v} AS INT)" for v in has.values())
+    return f"CASE WHEN {number} = 0 THEN 'empty' WHEN {number} > 1 THEN 'mixed' WHEN {has['l']} THEN 'latin' WHEN {has['d']} THEN 'devanagari' ELSE 'other' END"
+
+
+_RATIOS = ("ratio", "wratio", "token_sort_ratio", "token_set_ratio")
+
+
+def _all_measured(sides: str, both: str, tables: dict[str, str], guarded: bool = False) -> tuple[str, str]:
+    """CTEs that measure all text pairs of the columns at once, each distinct pair one time, and the joins to them."""
+    every = "texts AS (" + " UNION ".join(f"SELECT a_{c} AS x, b_{c} AS y FROM both_sides" for c in tables.values()) + ")"
+    joins = " ".join(f"JOIN every m_{p} ON m_{p}.x = a_{c} AND m_{p}.y = b_{c}" for p, c in tables.items())
+    return ",\n".join([sides, both, every, measured("every", "texts", "x", "y", guarded)]), joins
+
+
+def _base(rounded: bool = True) -> tuple[str, str]:
+    """CTEs and columns of the 39 features, for pairs (s1, t) of the table ``ids``."""
+    ratios = "round({}, 6)" if rounded else "{}"
+    sides = f"""sides AS (SELECT entity_id, name, address, country, n, a, {_no_suffix('n')} AS k, split_part(n, ' ', 1) AS f, split_part(n, ' ', -1) AS l, regexp_extract(address, '\\p{{Nd}}+') AS num, {_script('n')} AS ns, {_script('a')} AS as_
+  FROM (SELECT entity_id, business_name AS name, business_address AS address, lower(country) AS country, {norm('business_name')} AS n, {norm('business_address')} AS a FROM ent))"""
+    both = "both_sides AS (SELECT i.source1_entity_id AS entity_id, i.target_entity_id, " + ", ".join(f"{p}.{c} AS {p}_{c}" for p in "ab" for c in ("name", "address", "country", "n", "a", "k", "f", "l", "num", "ns", "as_")) + " FROM ids i JOIN sides a ON a.entity_id = i.source1_entity_id JOIN sides b ON b.entity_id = i.target_entity_id)"
+    tables = {"name": "name", "address": "address", "norm_name": "n", "norm_address": "a", "name_no_suffix": "k"}
+    ctes, joins = _all_measured(sides, both, tables)
+    columns = [f"{ratios.format(f'm_{p}.{r}')} AS {p}_{r}" for p in tables for r in (_RATIOS if p != "name_no_suffix" else _RATIOS[:2])]
+    same = {"name_exact": "name", "address_exact": "address", "norm_name_exact": "n", "norm_address_exact": "a", "name_no_suffix_exact": "k", "name_first_token_same": "f", "name_last_token_same": "l", "address_number_match": "num", "same_country": "country", "name_script_same": "ns", "address_script_same": "as_"}
+    columns += [f"CAST(a_{c} <> '' AND a_{c} = b_{c} AS DOUBLE) AS {k}" for k, c in same.items()]
+    count = "len(list_filter(string_split({}, ' '), lambda t: t <> ''))"
+    for p in ("name", "address"):
+        x, y = f"a_{p}", f"b_{p}"
+        columns += [f"CAST(abs(length({x}) - length({y})) AS DOUBLE) AS {p}_length_diff", f"round(CASE WHEN {x} = '' OR {y} = '' THEN 0.0 ELSE least(length({x}), length({y})) / greatest(length({x}), length({y})) END, 6) AS {p}_length_ratio", f"CAST(abs({count.format(x)} - {count.format(y)}) AS DOUBLE) AS {p}_token_count_diff"]
+    columns += ["CAST(substr(target_entity_id, 1, 2) = 'S2' AS DOUBLE) AS source_is_s2", "CAST(substr(target_entity_id, 1, 2) = 'S3' AS DOUBLE) AS source_is_s3", "CAST(a_address = '' AS DOUBLE) AS address1_missing", "CAST(b_address = '' AS DOUBLE) AS address2_missing"]
+    return ctes, f"SELECT entity_id, target_entity_id, {', '.join(columns)} FROM both_sides {joins}"
+
+
+def _dominant(x: str) -> str:
+    """The script with the most letters, the first to occur among equals."""
+    names = [*scripts.DOMINANT, "other"]
+    inside = {n: f"\\p{{{n}}}" for n in scripts.DOMINANT}
+    kept = {n: f"[^{c}]" for n, c in inside.items()} | {"other": f"[{''.join(inside.values())}]"}
+    letters = f"regexp_replace({x}, '[^\\p{{L}}]', '', 'g')"
+    before = {n: f"length(regexp_extract({letters}, '^[^{c}]*'))" for n, c in inside.items()} | {"other": f"length(regexp_extract({letters}, '^[{''.join(inside.values())}]*'))"}
+    each = ", ".join(f"{{'c': length(regexp_replace({letters}, '{kept[n]}', '', 'g')), 'p': -{before[n]}, 'n': '{n.lower()}'}}" for n in names)
+    return f"CASE WHEN length({letters}) = 0 THEN 'none' ELSE (list_sort([{each}])[-1]).n END"
+
+
+def _alternative() -> str:
+    """The 39 features of the other profile."""
+    words = _list(text.LEGAL_WORDS)
+    sides = f"""sides AS (SELECT entity_id, name, address, country, n, a, CASE WHEN list_contains({words}, split_part(n, ' ', -1)) THEN array_to_string(string_split(n, ' ')[:-2], ' ') ELSE n END AS k, split_part(n, ' ', 1) AS f, split_part(n, ' ', -1) AS l, regexp_extract(a, '\\p{{Nd}}+') AS num, {_dominant('name')} AS ns, {_dominant('address')} AS as_
+  FROM (SELECT entity_id, business_name AS name, business_address AS address, lower(country) AS country, {norm('business_name')} AS n, {norm('business_address')} AS a FROM ent))"""
+    both = "both_sides AS (SELECT i.source1_entity_id AS entity_id, i.target_entity_id, " + ", ".join(f"{p}.{c} AS {p}_{c}" for p in "ab" for c in ("name", "address", "country", "n", "a", "k", "f", "l", "num", "ns", "as_")) + " FROM cand i JOIN sides a ON a.entity_id = i.source1_entity_id JOIN sides b ON b.entity_id = i.target_entity_id)"
+    tables = {"raw_name": "name", "raw_address": "address", "norm_name": "n", "norm_address": "a", "suffixless_name": "k"}
+    ctes, joins = _all_measured(sides, both, tables, guarded=True)
+    columns = [f"round(m_{p}.{r}, 6) AS {p}_{r}" for p in tables for r in (_RATIOS if p != "suffixless_name" else _RATIOS[:2])]
+    same = {"raw_name_exact": "name", "raw_address_exact": "address", "norm_name_exact": "n", "norm_address_exact": "a", "suffixless_name_exact": "k", "first_token_agree": "f", "last_token_agree": "l", "same_country": "country", "name_script_same": "ns", "address_script_same": "as_"}
+    columns += [f"CAST(a_{c} = b_{c} AS DOUBLE) AS {k}" for k, c in same.items()] + ["CAST(a_num <> '' AND a_num = b_num AS DOUBLE) AS address_number_match"]
+    count = "len(list_filter(string_split({}, ' '), lambda t: t <> ''))"
+    for p, n in (("name", "n"), ("address", "a")):
+        x, y = f"a_{p}", f"b_{p}"
+        columns += [f"CAST(abs(length({x}) - length({y})) AS DOUBLE) AS raw_{p}_length_diff", f"round(CASE WHEN {x} = '' AND {y} = '' THEN 1.0 WHEN {x} = '' OR {y} = '' THEN 0.0 ELSE least(length({x}), length({y})) / greatest(length({x}), length({y})) END, 6) AS raw_{p}_length_ratio", f"CAST(abs({count.format(f'a_{n}')} - {count.format(f'b_{n}')}) AS DOUBLE) AS raw_{p}_token_count_diff"]
+    present = "a_address <> '' AND b_address <> ''"
+    columns += ["CAST(substr(target_entity_id, 1, 2) = 'S2' AS DOUBLE) AS source2", "CAST(substr(target_entity_id, 1, 2) = 'S3' AS DOUBLE) AS source3", f"CAST(NOT ({present}) AS DOUBLE) AS address_missing_any", f"CAST({present} AS DOUBLE) AS address_both_present"]
+    return _with(ENT, candidates("ALL_V2"), ctes) + f"SELECT entity_id, target_entity_id, {', '.join(columns)} FROM both_sides {joins}"
+
+
+def _feature_oracles() -> dict[str, str]:
+    """Queries over features of pairs."""
+    out = {}
+    ids = "ids AS (SELECT source1_entity_id, target_entity_id FROM cand)"
+    ctes, select = _base()
+    out["alternative_features"] = _alternative()
+    out["base_features"] = _with(ENT, candidates("ALL_V2"), ids, ctes) + select
+    named = (ENT, candidates("ALL_V2"), CLOSE, measured("nm", "close", "x", "y"), measured("am", "close", "xa", "ya"))
+    keys = f"parts AS (SELECT entity_id, regexp_extract(n, '(?:^|\\s)({_SUFFIX})$', 1) AS suffix, regexp_extract(business_address, '\\p{{Nd}}+') AS number FROM (SELECT entity_id, business_address, {norm('business_name')} AS n FROM ent))"
+    rel = "rel AS (SELECT c.source1_entity_id AS entity_id, c.target_entity_id, nm.ratio AS n, am.ratio AS a, p.suffix AS s, q.suffix AS t, p.number AS i, q.number AS j FROM close c JOIN nm ON nm.x = c.x AND nm.y = c.y JOIN am ON am.x = xa AND am.y = ya JOIN parts p ON p.entity_id = c.source1_entity_id JOIN parts q ON q.entity_id = c.target_entity_id)"
+    values = {"norm_name_ratio": "n", "norm_address_ratio": "a", "name_address_mean": "(n + a) / 2", "name_address_min": "least(n, a)", "name_address_max": "greatest(n, a)", "name_address_gap": "n - a", "name_dominance": "greatest(n - a, 0.0)", "address_dominance": "greatest(a - n, 0.0)"}
+    flags = {"suffix_both_present": "s <> '' AND t <> ''", "suffix_same": "s <> '' AND s = t", "suffix_conflict": "s <> '' AND t <> '' AND s <> t", "address_number_conflict": "i <> '' AND j <> '' AND i <> j"}
+    out["extra_features"] = _with(*named, keys, rel) + "SELECT entity_id, target_entity_id, " + ", ".join([*(f"round({v}, 6) AS {k}" for k, v in values.items()), *(f"CAST({v} AS DOUBLE) AS {k}" for k, v in flags.items())]) + " FROM rel"
+    raw, every = _base(rounded=False)
+    label = "ids AS (SELECT c.source1_entity_id, c.target_entity_id FROM cand c)"
+    lot = "md5('42|' || entity_id || '|' || target_entity_id)"
+    bucket = """CASE WHEN norm_name_ratio >= 85 AND norm_address_ratio <= 70 THEN 'A_high_name_bad_address' WHEN norm_address_token_set_ratio >= 85 AND norm_name_ratio <= 60 THEN 'B_high_address_weak_name'
+    WHEN name_no_suffix_wratio >= 90 AND norm_address_ratio <= 70 THEN 'C_no_suffix_high_name_bad_address' WHEN norm_name_ratio >= 85 AND address_number_match = 0 AND address1_missing = 0 AND address2_missing = 0 THEN 'D_high_name_number_conflict' END"""
+    score = "round(norm_name_ratio * 0.35 + norm_address_ratio * 0.35 + name_no_suffix_wratio * 0.15 + norm_address_token_set_ratio * 0.15, 6)"
+    out["hard_negative_dataset"] = _with(ENT, TRUTH, candidates("ALL_V2"), label, raw, f"f AS ({every})", f"g AS (SELECT f.*, CAST(t.target_entity_id IS NOT NULL AS BIGINT) AS label, {score} AS hard_score, {bucket} AS bucket FROM f LEFT JOIN truth t ON t.source1_entity_id = f.entity_id AND t.target_entity_id = f.target_entity_id)",
+        "hard AS (SELECT entity_id, target_entity_id, label, bucket AS kind, hard_score FROM g WHERE label = 0 AND bucket IS NOT NULL ORDER BY hard_score DESC, entity_id, target_entity_id LIMIT 200)",
+        f"others AS (SELECT entity_id, target_entity_id, label, 'random' AS kind, hard_score, row_number() OVER (ORDER BY {lot}, entity_id, target_entity_id) AS r FROM g WHERE label = 0 AND NOT EXISTS (SELECT 1 FROM hard h WHERE h.entity_id = g.entity_id AND h.target_entity_id = g.target_entity_id))") + "SELECT * FROM hard UNION ALL SELECT entity_id, target_entity_id, label, kind, hard_score FROM others WHERE r <= 1000 - (SELECT count(*) FROM hard) UNION ALL SELECT entity_id, target_entity_id, label, 'positive', hard_score FROM g WHERE label = 1"
+    return out
+
+
+def _other_oracles() -> dict[str, str]:
+    """Queries over keys, samples and evaluation."""
+    out = {}
+    lot = "md5('42|' || source1_entity_id || '|' || target_entity_id)"
+    out["targeted_negatives_v4"] = _with(ENT, TRUTH, candidates("ALL_V4"), f"neg AS (SELECT *, CASE WHEN n_blocks >= 2 THEN 'strong' ELSE 'control' END AS kind FROM cand c WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.source1_entity_id = c.source1_entity_id AND t.target_entity_id = c.target_entity_id))") + f"SELECT source1_entity_id, target_entity_id, n_blocks, kind FROM (SELECT *, row_number() OVER (PARTITION BY source1_entity_id, kind ORDER BY n_blocks DESC, {lot}, target_entity_id) AS r FROM neg) WHERE r <= CASE kind WHEN 'strong' THEN 5 ELSE 2 END"
+    state = ", ".join(f"CASE WHEN a.{b} = '' OR b.{b} = '' THEN 'missing' WHEN a.{b} = b.{b} THEN 'equal' ELSE 'different' END AS {b}_status" for b in ("name_first", "name_prefix2", "address_number", "address_first"))
+    out["miss_diagnosis"] = _with(ENT, candidates("BASELINE"), AND_JOIN) + f"SELECT {state}, count(*) AS n FROM cand c JOIN keys a ON a.entity_id = c.source1_entity_id JOIN keys b ON b.entity_id = c.target_entity_id WHERE NOT EXISTS (SELECT 1 FROM both_first f WHERE f.source1_entity_id = c.source1_entity_id AND f.target_entity_id = c.target_entity_id) GROUP BY ALL"
+    out["last_word_block"] = _with(ENT, f"w AS (SELECT entity_id, source, lower(trim(country)) AS c, split_part({norm('business_name')}, ' ', -1) AS l FROM ent)") + "SELECT DISTINCT a.entity_id AS source1_entity_id, b.entity_id AS target_entity_id FROM w a JOIN w b ON a.c = b.c AND a.l = b.l AND a.source = 1 AND b.source > 1 WHERE a.l <> ''"
+    out["triple_key_join"] = _with(ENT, candidates("BASELINE")) + "SELECT source1_entity_id, target_entity_id FROM cand WHERE list_contains(blocks, 'name_first') AND list_contains(blocks, 'name_prefix2') AND list_contains(blocks, 'address_number')"
+    out["stratified_split"] = _with(ENT, TRUTH, keys("BASELINE"), AND_JOIN, "g AS (SELECT f.*, CAST(t.target_entity_id IS NOT NULL AS BIGINT) AS label FROM both_first f LEFT JOIN truth t USING (source1_entity_id, target_entity_id))") + f"SELECT source1_entity_id, target_entity_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {lot}, source1_entity_id, target_entity_id) <= count(*) OVER (PARTITION BY label) * 20 // 100 THEN 'test' ELSE 'train' END AS split FROM g"
+    out["reservoir_sample"] = _with(ENT) + "SELECT entity_id FROM ent ORDER BY md5('42|' || entity_id), entity_id LIMIT 100"
+    judged = (ENT, TRUTH, candidates("ALL_V2"), SCORED)
+    out["top_by_score"] = _with(*judged) + "SELECT * FROM (SELECT source1_entity_id, target_entity_id, row_number() OVER (PARTITION BY source1_entity_id ORDER BY score DESC, target_entity_id) AS rank FROM scored) WHERE rank <= 2"
+    told = _with(*judged, "told AS (SELECT s.*, CAST(t.target_entity_id IS NOT NULL AS BIGINT) AS label, CAST(score >= 0.65 AS BIGINT) AS predicted FROM scored s LEFT JOIN truth t USING (source1_entity_id, target_entity_id))")
+    out["confusion_matrix"] = told + "SELECT label, predicted, count(*) AS n FROM told GROUP BY 1, 2"
+    out["classification_report"] = told + ", h AS (SELECT k AS label, count(*) FILTER (WHERE label = k AND predicted = k) AS hit, count(*) FILTER (WHERE predicted = k) AS said, count(*) FILTER (WHERE label = k) AS support FROM told, (VALUES (0), (1)) v(k) GROUP BY 1), r AS (SELECT *, coalesce(hit / nullif(said, 0), 0.0) AS p, coalesce(hit / nullif(support, 0), 0.0) AS q FROM h) SELECT CAST(label AS BIGINT) AS label, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0.0 END, 6) AS f1, support FROM r"
+    out["error_ranking"] = told + "SELECT source1_entity_id, target_entity_id, outcome, round(score, 6) AS score FROM (SELECT *, CASE WHEN predicted = 1 THEN 'FP' ELSE 'FN' END AS outcome, row_number() OVER (PARTITION BY predicted ORDER BY CASE WHEN predicted = 1 THEN -score ELSE score END, source1_entity_id, target_entity_id) AS r FROM told WHERE label <> predicted) WHERE r <= 50"
+    n, a = norm("url"), norm("substr(url, 9, 30)")
+    words = "len(list_filter(string_split({}, ' '), lambda t: t <> ''))"
+    out["record_fields"] = f"""SELECT page_id, url AS business_name_raw, substr(url, 9, 30) AS business_address_raw, 'US' AS country_raw, n AS business_name_normalized, a AS business_address_normalized, {_no_suffix('n')} AS business_name_without_suffix, regexp_extract(n, '(?:^|\\s)({_SUFFIX})$', 1) AS legal_suffix,
+  {words.format('n')} AS name_token_count, {words.format('a')} AS address_token_count, length(n) AS name_length, length(a) AS address_length, split_part(n, ' ', 1) AS name_first_token, split_part(n, ' ', -1) AS name_last_token FROM (SELECT page_id, url, {n} AS n, {a} AS a FROM pages)"""
+    return out
+
+
+def _part_oracles(cosines: str, grams: str) -> dict[str, str]:
+    """Queries over parts of addresses and character n-grams."""
+    out = {}
+    up = "upper(trim({}))"
+    sets = {
+        "num": f"list_distinct(list_transform(regexp_extract_all({up}, '\\p{{{{Nd}}}}+'), lambda z: {_number('z')}))",
+        "compound": f"list_distinct(regexp_extract_all({up}, '\\b\\p{{{{Nd}}}}+[A-Z]?-\\p{{{{Nd}}}}+[A-Z]?\\b'))",
+        "alnum": f"list_distinct(regexp_extract_all({up}, '[A-Z0-9]+(?:-[A-Z0-9]+)*'))",
+        "postal": f"list_distinct(list_transform(regexp_extract_all({up}, '\\b\\p{{{{Nd}}}}{{{{4,6}}}}\\b'), lambda z: {_number('z')}))",
+    }
+    out["address_token_sets"] = "SELECT page_id, " + ", ".join(f"array_to_string(list_sort({sets[k].format('url')}), ',') AS {k}" for k in ("compound", "postal")) + " FROM pages"
+    plain = _number("regexp_extract(upper(trim(business_address)), '\\p{Nd}+')")
+    made = f"made AS (SELECT entity_id, {', '.join(f'{v.format("business_address")} AS {k}' for k, v in sets.items())}, {plain} AS first FROM ent)"
+    rows = "r AS (SELECT c.source1_entity_id AS entity_id, c.target_entity_id, " + ", ".join(f"{p}.{k} AS {p}_{k}" for p in "ab" for k in (*sets, "first")) + " FROM cand c JOIN made a ON a.entity_id = c.source1_entity_id JOIN made b ON b.entity_id = c.target_entity_id)"
+
+    def shared(k: str) -> str:
+        return f"len(list_intersect(a_{k}, b_{k}))"
+
+    def jaccard(k: str) -> str:
+        return f"round(CASE WHEN len(a_{k}) = 0 AND len(b_{k}) = 0 THEN 1.0 ELSE {shared(k)} / (len(a_{k}) + len(b_{k}) - {shared(k)}) END, 6)"
+
+    def overlap(k: str) -> str:
+        return f"round(CASE WHEN len(a_{k}) = 0 OR len(b_{k}) = 0 THEN 0.0 ELSE {shared(k)} / least(len(a_{k}), len(b_{k})) END, 6)"
+
+    out["address_features"] = _with(ENT, candidates("ALL_V2"), made, rows) + f"""SELECT entity_id, target_entity_id, {jaccard('num')} AS address_num_jaccard, {overlap('num')} AS address_num_overlap_min, CAST(len(a_num) > 0 AND len(a_num) = len(b_num) AND {shared('num')} = len(a_num) AS DOUBLE) AS address_num_exact_set, CAST(abs(len(a_num) - len(b_num)) AS DOUBLE) AS address_num_count_diff,
+  CAST({shared('compound')} > 0 AS DOUBLE) AS address_compound_num_exact, {jaccard('compound')} AS address_compound_num_jaccard, {jaccard('alnum')} AS address_alnum_token_jaccard, {overlap('alnum')} AS address_alnum_token_overlap_min, CAST(a_first <> '' AND a_first = b_first AS DOUBLE) AS address_first_num_exact_normalized, CAST({shared('postal')} > 0 AS DOUBLE) AS address_postal_overlap FROM r"""
+    listed = ", ".join(f"{grams.format(x=c, n=k)} AS {c}{k}" for c in "xy" for k in (3, 4, 5))
+    columns = ", ".join(f"cosine_{k} AS {c}_char_{k}gram_cosine" for c in ("name", "latin") for k in (3, 4, 5))
+    # The documents hold Latin letters alone, which are the same when transliterated.
+    out["ngram_features"] = _with(ENT, candidates("ALL_V2"), CLOSE) + f"SELECT entity_id, target_entity_id, {columns} FROM (SELECT source1_entity_id AS entity_id, target_entity_id, {cosines} FROM (SELECT source1_entity_id, target_entity_id, {listed} FROM close))"
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     out: dict[str, str] = {}
@@ -150,7 +353,9 @@ def oracle_sql() -> dict[str, str]:
     out["blocking_intersections"] = _with(ENT, candidates("BASELINE"), HITS) + "SELECT source1_entity_id, target_entity_id, array_to_string(strategies, ',') AS strategies FROM hits"
     parts = ", ".join(candidates(v, f"c_{v}", f"k_{v}") for v in VERSIONS)
     each = " UNION ALL ".join(f"SELECT '{v}' AS variant, (SELECT count(*) FROM truth) AS truth_pairs, (SELECT count(*) FROM truth JOIN c_{v} USING (source1_entity_id, target_entity_id)) AS recovered_pairs, (SELECT count(*) FROM c_{v}) AS total_candidates" for v in VERSIONS)
-    out["blocking_variant_report"] = _with(ENT, TRUTH, parts) + each
+    share = "CASE WHEN {0}truth_pairs > 0 THEN {0}recovered_pairs / {0}truth_pairs ELSE 1.0 END"
+    out["blocking_variant_report"] = _with(ENT, TRUTH, parts, f"report AS ({each})", "base AS (SELECT * FROM report WHERE variant = 'BASELINE')") + f"""SELECT r.variant, r.truth_pairs, r.recovered_pairs, round({share.format('r.')}, 6) AS candidate_recall, r.total_candidates, round(r.total_candidates / (SELECT count(*) FROM ent WHERE source = 1), 6) AS avg_candidates_per_source1,
+  round({share.format('r.')} - {share.format('b.')}, 6) AS recall_delta, r.total_candidates - b.total_candidates AS candidates_delta FROM report r, base b"""
     loose = r"split_part(trim(regexp_replace(lower(business_name), '[^\p{L}\p{N}_]+', ' ', 'g')), ' ', 1)"
     out["first_word_block_negatives"] = _with(ENT, TRUTH, f"f AS (SELECT entity_id, source, lower(trim(country)) AS c, {loose} AS w FROM ent)") + "SELECT a.entity_id AS source1_entity_id, count(*) AS n FROM f a JOIN f b ON a.c = b.c AND a.w = b.w AND a.source = 1 AND b.source > 1 WHERE a.w <> '' AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.source1_entity_id = a.entity_id AND t.target_entity_id = b.entity_id) GROUP BY 1"
     recall = _with(ENT, TRUTH, keys("BASELINE"), AND_JOIN, counts("SELECT * FROM both_first"))
@@ -212,4 +417,6 @@ def oracle_sql() -> dict[str, str]:
     out["value_counts_pct"] = "SELECT c_mktsegment, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER (), 6) AS pct FROM customer GROUP BY 1"
     out["union_tagged"] = "SELECT kind, nationkey, count(*) AS n FROM (SELECT 'customer' AS kind, CAST(c_nationkey AS BIGINT) AS nationkey FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier) GROUP BY 1, 2"
     out["intersect_except_ids"] = _with(ENT, candidates("BASELINE", "c1", "k1"), candidates("ALL_V4", "c2", "k2")) + "SELECT CASE WHEN a.source1_entity_id IS NULL THEN 'v4_only' WHEN b.source1_entity_id IS NULL THEN 'baseline_only' ELSE 'both' END AS found_by, count(*) AS n FROM c1 a FULL JOIN c2 b ON a.source1_entity_id = b.source1_entity_id AND a.target_entity_id = b.target_entity_id GROUP BY 1"
+    out |= _similar_oracles() | _feature_oracles() | _other_oracles() | _part_oracles(cosines, grams)
+    out["best_rule"] = f"SELECT * FROM ({out['threshold_topk_search']}) ORDER BY macro_f05 DESC, threshold, top_k LIMIT 1"
     return out

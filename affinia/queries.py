@@ -52,15 +52,15 @@ def _named(entities: DataFrame, min_blocks: int = 1) -> DataFrame:
     return some.select(*PAIR).join(a, "source1_entity_id").join(b, "target_entity_id")
 
 
-def _close(entities: DataFrame) -> DataFrame:
-    """Candidates with two shared keys or more: those that the SQL of the queries of one measure takes."""
-    return _named(entities, 2)
-
-
 def _long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles with so many digits, whole numbers as long."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else _long(c).alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
 def norm_name_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized fields of every record."""
     e = R.entity_view(spark, sf_dir)
@@ -129,9 +129,9 @@ def blocking_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocking_variant_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall and volume of all blocking variants."""
+    """Recall and volume of all blocking variants, and their differences from the first."""
     e = R.entity_view(spark, sf_dir)
-    return blocking.variant_report(e, _truth(e))
+    return _rounded(blocking.variant_report(e, _truth(e)))
 
 
 def first_word_block_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,18 +219,18 @@ def _ratio_pairs(rows: DataFrame, name: str) -> DataFrame:
 
 
 def indel_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ratio of both names, for candidates with two shared keys."""
-    return _ratio_pairs(_close(R.entity_view(spark, sf_dir)), "ratio")
+    """The ratio of both names, for all candidates."""
+    return _ratio_pairs(_named(R.entity_view(spark, sf_dir)), "ratio")
 
 
 def token_sort_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratio of the names' sorted words."""
-    return _ratio_pairs(_close(R.entity_view(spark, sf_dir)), "token_sort_ratio")
+    return _ratio_pairs(_named(R.entity_view(spark, sf_dir)), "token_sort_ratio")
 
 
 def token_set_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratio of the names' sets of words."""
-    return _ratio_pairs(_close(R.entity_view(spark, sf_dir)), "token_set_ratio")
+    return _ratio_pairs(_named(R.entity_view(spark, sf_dir)), "token_set_ratio")
 
 
 def wratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,24 +255,17 @@ def _lengths() -> list[Column]:
 
 def char_ngram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosines of the names' character 3-, 4- and 5-grams."""
-    return _close(R.entity_view(spark, sf_dir)).select(*PAIR, *_cosines())
+    return _named(R.entity_view(spark, sf_dir)).select(*PAIR, *_cosines())
 
 
 def address_sets_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set similarities of the words of both addresses."""
-    return _close(R.entity_view(spark, sf_dir)).select(*PAIR, *_address_sets())
+    return _named(R.entity_view(spark, sf_dir)).select(*PAIR, *_address_sets())
 
 
 def length_token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences in length and number of words of both names."""
-    return _close(R.entity_view(spark, sf_dir)).select(*PAIR, *_lengths())
-
-
-def all_pair_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ratios, cosines, set similarities and differences of the six queries above, for all candidates."""
-    names = ("ratio", "token_sort_ratio", "token_set_ratio")
-    rows = _named(R.entity_view(spark, sf_dir)).withColumn("r", similarity.ratios(F.col("a_name"), F.col("b_name"), names))
-    return rows.select(*PAIR, *[F.round(f"r.{n}", 6).alias(n) for n in names], *_cosines(), *_address_sets(), *_lengths())
+    return _named(R.entity_view(spark, sf_dir)).select(*PAIR, *_lengths())
 
 
 def blocking_evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,11 +276,44 @@ def blocking_evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("entity_id", "target_entity_id", *[_long(c).alias(c) for c in out.columns[2:]])
 
 
+def _ids(entities: DataFrame) -> DataFrame:
+    return linkage.candidates(entities, linkage.Config("ALL_V2")).select(F.col("source1_entity_id").alias("entity_id"), "target_entity_id")
+
+
 def base_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 39 features of all candidates."""
     e = R.entity_view(spark, sf_dir)
-    some = linkage.candidates(e, linkage.Config("ALL_V2")).select(F.col("source1_entity_id").alias("entity_id"), "target_entity_id")
-    return features.base_features(some, e)
+    return _rounded(features.base_features(_ids(e), e))
+
+
+def alternative_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 39 features of the other profile, for all candidates."""
+    e = R.entity_view(spark, sf_dir)
+    return _rounded(features.alternative_features(_ids(e), e))
+
+
+def _norm_ratios(entities: DataFrame) -> DataFrame:
+    """Candidates with the ratios of normalized names and addresses."""
+    rows = _named(entities).withColumns({"n": similarity.ratios(F.col("a_name"), F.col("b_name"), ("ratio",)), "a": similarity.ratios(F.col("a_address"), F.col("b_address"), ("ratio",))})
+    return rows.select(F.col("source1_entity_id").alias("entity_id"), "target_entity_id", F.col("n.ratio").alias("norm_name_ratio"), F.col("a.ratio").alias("norm_address_ratio"))
+
+
+def extra_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that relate names to addresses, suffixes and numbers, for all candidates."""
+    e = R.entity_view(spark, sf_dir)
+    return _rounded(features.extra_features(_norm_ratios(e), e))
+
+
+def address_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten features of the parts of both addresses, for all candidates."""
+    e = R.entity_view(spark, sf_dir)
+    return _rounded(features.address_features(_ids(e), e))
+
+
+def ngram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of names' character n-grams, as written and transliterated, for all candidates."""
+    e = R.entity_view(spark, sf_dir)
+    return _rounded(features.ngram_features(_ids(e), e))
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,6 +342,105 @@ def targeted_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.targeted_negatives(rows, 50).select(*PAIR, "category")
 
 
+def targeted_negatives_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As targeted_negatives, with the categories of the version before."""
+    rows = _similar(spark, sf_dir).join(_truth(R.entity_view(spark, sf_dir)), PAIR, "left_anti")
+    return pairs.targeted_negatives(rows, 50, version=2).select(*PAIR, "category")
+
+
+def targeted_negatives_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per record the five untrue candidates with two or more shared keys, and two with one as control."""
+    e = R.entity_view(spark, sf_dir)
+    return pairs.block_targeted_negatives(pairs.labelled(_candidates(e), _truth(e)), 5, 2).select(*PAIR, _long("n_blocks").alias("n_blocks"), "kind")
+
+
+def hard_negative_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All positives, the 200 closest bucketed negatives and others by lot, 1,000 negatives in all."""
+    e = R.entity_view(spark, sf_dir)
+    labelled = pairs.labelled(_candidates(e, "ALL_V2"), _truth(e)).select(F.col("source1_entity_id").alias("entity_id"), "target_entity_id", "label")
+    out = pairs.hard_negative_dataset(features.base_features(labelled, e), 200, 1000)
+    return out.select("entity_id", "target_entity_id", _long("label").alias("label"), "kind", F.round("hard_score", 6).alias("hard_score"))
+
+
+def miss_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all keys that the conjunction misses, by the state of their four keys."""
+    e = R.entity_view(spark, sf_dir)
+    missed = blocking.missed_pairs(blocking_and_join(spark, sf_dir), _candidates(e, "BASELINE")).select(*PAIR)
+    status = [f"{b}_status" for b in blocking.BLOCKS]
+    return blocking.diagnosed(missed, e, blocking.VARIANTS["BASELINE"]).groupBy(*status).agg(F.count("*").alias("n"))
+
+
+def last_word_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that share the last word of the name."""
+    keyed = blocking.with_keys(R.entity_view(spark, sf_dir), blocking.VARIANTS["BASELINE"], last_token=True)
+    return blocking.any_key_join(keyed.filter("source = 1"), keyed.filter("source > 1"), ("name_last",)).select(*PAIR)
+
+
+def triple_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that share the first word and letters of the name, and the number of the address."""
+    keyed = blocking.with_keys(R.entity_view(spark, sf_dir), blocking.VARIANTS["BASELINE"])
+    return blocking.all_keys_join(keyed.filter("source = 1"), keyed.filter("source > 1"), blocking.INTERSECTIONS["I5"])
+
+
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conjunctive candidates split by lot, a fifth of each label to test."""
+    e = R.entity_view(spark, sf_dir)
+    return pairs.stratified_split(pairs.labelled(blocking_and_join(spark, sf_dir), _truth(e))).select(*PAIR, _long("label").alias("label"), "split")
+
+
+def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred records by lot."""
+    return pairs.sample(R.entity_view(spark, sf_dir), 100).select("entity_id")
+
+
+def top_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best candidates of each record by score."""
+    return pairs.top_by_score(_scored(R.entity_view(spark, sf_dir)), 2).select(*PAIR, _long("rank").alias("rank"))
+
+
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by label and prediction at a threshold."""
+    e = R.entity_view(spark, sf_dir)
+    return evaluate.confusion(pairs.labelled(_scored(e), _truth(e)), 0.65).select(_long("label").alias("label"), _long("predicted").alias("predicted"), "n")
+
+
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall, F1 and support of each label at a threshold."""
+    e = R.entity_view(spark, sf_dir)
+    return _rounded(evaluate.classification_report(pairs.labelled(_scored(e), _truth(e)), 0.65))
+
+
+def best_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule of threshold_topk_search with the greatest macro F0.5."""
+    return evaluate.best_rule(threshold_topk_search(spark, sf_dir))
+
+
+def error_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty false positives with the greatest scores and the false negatives with the least."""
+    e = R.entity_view(spark, sf_dir)
+    fp, fn = evaluate.error_lists(pairs.labelled(_scored(e), _truth(e)), 0.65, 50)
+    return fp.unionByName(fn).select(*PAIR, "outcome", F.round("score", 6).alias("score"))
+
+
+def discovery_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three untrue candidates of each record with the greatest 0.6 name + 0.4 address."""
+    e = R.entity_view(spark, sf_dir)
+    rows = _similar(spark, sf_dir).join(_truth(e), PAIR, "left_anti").withColumn("score", F.round(F.col("name_sim") * 0.6 + F.col("address_sim") * 0.4, 6))
+    return pairs.top_by_score(rows, 3).select(*PAIR, "score")
+
+
+def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of normalized records, from the first words of every URL and the text of its page."""
+    rows = _read(spark, sf_dir, "pages").select("page_id", *[c.alias(k) for k, c in X.normalized_record(F.col("url"), F.substring("url", 9, 30), F.lit("US")).items()])
+    return _rounded(rows.drop("name_script", "address_script"))
+
+
+def address_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compound numbers and postal codes in all URLs."""
+    u = F.col("url")
+    return _read(spark, sf_dir, "pages").select("page_id", *[F.array_join(F.array_sort(f(u)), ",").alias(n) for n, f in (("compound", A.compound_numbers), ("postal", A.postal_codes))])
+
+
 def random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three targets of source 2 and two of source 3 by lot for each record."""
     e = R.entity_view(spark, sf_dir)
@@ -413,7 +538,9 @@ def queries() -> dict:
         "norm_name_doc", "legal_suffix_split", "ocr_name_fix", "token_stats_hist", "script_class_doc", "address_number_keys_pages", "address_first_keys_doc", "blocking_or_join", "blocking_and_join",
         "blocking_intersections", "blocking_variant_report", "first_word_block_negatives", "candidate_recall_by_entity", "candidate_ceiling", "missed_pairs_grouping_sets", "semi_join_sampled",
         "anti_join_negatives", "left_join_one_to_one", "topn_hard_negatives", "training_pairs", "hash_sample_split", "sample_by_group", "dedup_category_priority", "oversample_x3", "indel_ratio_pairs",
-        "token_sort_ratio_pairs", "token_set_ratio_pairs", "wratio_pairs", "char_ngram_cosine", "address_sets_jaccard", "length_token_features", "all_pair_measures", "blocking_evidence_features", "base_features", "similarity_categories", "hard_negative_zones", "targeted_negatives", "random_negatives",
+        "token_sort_ratio_pairs", "token_set_ratio_pairs", "wratio_pairs", "char_ngram_cosine", "address_sets_jaccard", "length_token_features", "blocking_evidence_features", "base_features", "similarity_categories", "hard_negative_zones", "targeted_negatives", "random_negatives",
+        "alternative_features", "extra_features", "address_features", "ngram_features", "targeted_negatives_v2", "targeted_negatives_v4", "hard_negative_dataset", "miss_diagnosis", "last_word_block", "triple_key_join",
+        "stratified_split", "reservoir_sample", "top_by_score", "confusion_matrix", "classification_report", "best_rule", "error_ranking", "discovery_scores", "record_fields", "address_token_sets",
         "macro_f05_at_t", "threshold_topk_search", "error_entity_summary", "micro_pr", "confusion_by_blocks", "describe_percentiles", "group_mean_median", "gt_match_distribution",
         "missing_value_profile", "value_counts_pct", "union_tagged", "intersect_except_ids",
     ]

@@ -13,6 +13,9 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+#: Column for a row that does not fit the schema.
+BAD = "_malformed"
+#: Column names that must be these.
 RECORD = _strings("entity_id", "business_name", "business_address", "country")
 TRUTH = _strings("source1_entity_id", "matched_entity_ids")
 CANDIDATE = _strings("source1_entity_id", "target_entity_id")
@@ -21,10 +24,29 @@ SPLIT = _strings("entity_id")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType, tolerant: bool = False) -> DataFrame:
-    """All columns as text, as written: no value counts as missing. tolerant: malformed rows are kept out, else they fail."""
-    # Without column pruning a row is judged by all of its columns, whichever are asked for.
-    mode = "DROPMALFORMED" if tolerant else "FAILFAST"
-    return spark.read.schema(schema).option("columnPruning", False).csv(path, sep="\t", header=True, mode=mode, nullValue="\u0000", emptyValue="").fillna("")
+    """All columns as text, as written: no value counts as missing. tolerant: malformed rows are kept out, else they fail.
+
+    Only the columns asked for are parsed; a tolerant scan judges a row by all of them, whichever are
+    asked for. Rows kept out are in malformed_rows().
+    """
+    if tolerant:
+        return _with_malformed(spark, path, schema).filter(_malformed(schema) == "").select(*schema.names).fillna("")
+    return spark.read.schema(schema).csv(path, sep="\t", header=True, mode="FAILFAST", nullValue="\u0000", emptyValue="").fillna("")
+
+
+def malformed_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows that a tolerant scan keeps out, as written: one column, ``malformed``; for a count or a sink."""
+    return _with_malformed(spark, path, schema).select(_malformed(schema).alias("malformed")).filter("malformed <> ''")
+
+
+def _malformed(schema: T.StructType) -> Column:
+    """The row if it is malformed, else an empty text. Spark refuses to read that column alone: nothing of another is added."""
+    return F.concat(F.coalesce(BAD, F.lit("")), F.substring(F.coalesce(F.col(schema.names[0]), F.lit("")), 1, 0))
+
+
+def _with_malformed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    held = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    return spark.read.schema(held).option("columnPruning", False).csv(path, sep="\t", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, nullValue="\u0000", emptyValue="")
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
@@ -79,10 +101,11 @@ def numbers(df: DataFrame, names: list[str] | tuple[str, ...]) -> DataFrame:
 
 def entity_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as records of three sources: id, source 1 to 3, words 1-4 as name, 5-14 as address, language as country."""
-    words = F.split(normalized(F.col("text")), " ")
+    text = normalized(F.col("text"), unicode=False)  # the documents are in NFKC; blocking and features normalize fully
+    words = F.split(text, " ")
     number = F.substring("source", 4, 9).cast("int")
     source = F.when(number < 7, 1).when(number < 14, 2).otherwise(3)
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", words.alias("w"), source.alias("source"), F.col("lang").alias("country"), F.md5(normalized(F.col("text"))).alias("text_key"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", words.alias("w"), source.alias("source"), F.col("lang").alias("country"), F.md5(text).alias("text_key"))
     return rows.select(
         F.concat(F.lit("S"), F.col("source"), F.lit("-"), F.col("doc_id")).alias("entity_id"),
         "source",

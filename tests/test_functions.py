@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +25,16 @@ def test_normalized(spark, unicode):
     assert each(spark, lambda c: X.normalized(c, unicode), texts) == ["महाकाल ट्रेडर्स pvt ltd", "abc healthcare pvt ltd", "middletown pédiatric center", "strasse 9", "", ""]
 
 
+def test_folding_equals_python(spark):
+    """Without Python, and the same as Python's NFKC and case folding."""
+    rng = random.Random(8)
+    letters = [chr(c) for low, high in ((0x20, 0x250), (0x370, 0x400), (0x900, 0x980), (0x1E00, 0x1F00), (0x2070, 0x2190), (0x3040, 0x30FF), (0xAC00, 0xAC40), (0xFB00, 0xFB07), (0xFF01, 0xFFBF)) for c in range(low, high) if unicodedata.category(chr(c)) != "Cn"]
+    texts = ["", "Stra\u00dfe", "\u0130stanbul", *("".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.nfkc_folded(F.col("t")).alias("f"))
+    assert "Python" not in df._jdf.queryExecution().toString()
+    assert all(r.f == unicodedata.normalize("NFKC", r.t).casefold() for r in df.collect())
+
+
 def test_compatibility_forms(spark):
     assert each(spark, lambda c: X.nfkc_casefold(c), ["ＡＢＣ ﬁ", "ΣΑΣ", None]) == ["abc fi", "σασ", ""]
 

@@ -97,6 +97,26 @@ def test_splits(entities):
         pairs.assert_disjoint(ids, a, "entity_id")
 
 
+@pytest.mark.parametrize("percent", [0, 20, 35, 100])
+def test_stratified_split_by_label(spark, percent):
+    rows = spark.range(537).select(F.concat(F.lit("a"), "id").alias("source1_entity_id"), F.lit("t").alias("target_entity_id"), F.when(F.col("id") % 11 == 0, 1).otherwise(0).alias("label"))
+    got = {(r.label, r.split): r["count"] for r in pairs.stratified_split(rows, percent).groupBy("label", "split").count().collect()}
+    for label, n in ((1, 49), (0, 488)):
+        assert got.get((label, "test"), 0) == n * percent // 100 and got.get((label, "train"), 0) == n - n * percent // 100
+
+
+def test_full_width_names_meet(spark):
+    """Compatibility forms of one name are one name, in blocking and in features."""
+    rows = [("S1-1", 1, "\uff21\uff22\uff23 \ufb01ne Stra\u00dfe", "12 x", "US"), ("S2-1", 2, "abc fine STRASSE", "99 other", "US")]
+    e = spark.createDataFrame(rows, "entity_id string, source int, business_name string, business_address string, country string")
+    keyed = blocking.with_keys(e, blocking.VARIANTS["ALL_V4"])
+    found = blocking.any_key_join(keyed.filter("source = 1"), keyed.filter("source = 2")).collect()
+    assert [(r[0], r[1], r.blocks) for r in found] == [("S1-1", "S2-1", ["name_first", "name_prefix2"])]
+    ids = e.filter("source = 1").select("entity_id", F.lit("S2-1").alias("target_entity_id"))
+    assert features.base_features(ids, e).first().norm_name_exact == 1.0
+    assert features.alternative_features(ids, e).first().raw_name_exact == 1.0
+
+
 def test_checks(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
     with pytest.raises(ValueError):
@@ -106,12 +126,23 @@ def test_checks(spark):
     assert pairs.same_keys(twice, twice.select("k"), ["k"]) and not pairs.same_keys(twice, twice.limit(1), ["k"])
 
 
+SIMILAR = {"b": (95.0, 85.0), "c": (96.0, 40.0), "d": (30.0, 95.0), "e": (10.0, 10.0), "f": (80.0, 39.0), "g": (39.0, 70.0), "h": (59.0, 79.0), "i": (80.0, 80.0), "j": (90.0, 59.0)}
+ZONES = {
+    "name_80_address_80": lambda n, a: n >= 80 and a >= 80,
+    "name_90_address_below_60": lambda n, a: n >= 90 and a < 60,
+    "name_below_60_address_80": lambda n, a: n < 60 and a >= 80,
+    "name_below_40_address_70": lambda n, a: n < 40 and a >= 70,
+    "name_80_address_below_40": lambda n, a: n >= 80 and a < 40,
+}
+
+
 def test_categories(spark):
-    scored = spark.createDataFrame([("a", "b", 95.0, 85.0), ("a", "c", 96.0, 40.0), ("a", "d", 30.0, 95.0), ("a", "e", 10.0, 10.0)], "source1_entity_id string, target_entity_id string, name_sim double, address_sim double")
+    every = [("a", k, *v) for k, v in SIMILAR.items()]
+    zones = spark.createDataFrame(every, "s string, t string, name_sim double, address_sim double").select([F.count_if(c).alias(k) for k, c in pairs.danger_zones().items()]).first()
+    assert zones.asDict() == {k: sum(zone(*v) for v in SIMILAR.values()) for k, zone in ZONES.items()}
+    scored = spark.createDataFrame(every[:4], "source1_entity_id string, target_entity_id string, name_sim double, address_sim double")
     got = {r[1]: r.category for r in pairs.targeted_negatives(scored).collect()}
     assert got == {"b": "similar_name", "c": "similar_name", "d": "similar_address"}
-    zones = scored.select([F.count_if(c).alias(k) for k, c in pairs.danger_zones().items()]).first()
-    assert zones["name_95_address_50"] == 1 and zones["name_50_address_95"] == 1
 
 
 def test_f05_rules(spark):

@@ -73,7 +73,11 @@ def test_pair_queries_take_all_candidates(spark):
         p, q = (Counter(z[i : i + n] for i in range(len(z) - n + 1)) for z in (x, y))
         return sum(v * q[k] for k, v in p.items()) / math.sqrt(sum(v * v for v in p.values()) * sum(v * v for v in q.values())) if p and q else 0.0
 
-    measured = {tuple(r)[:2]: r for r in run("all_pair_measures")}
+    tables = [entry.queries()[n](spark, SF) for n in ("indel_ratio_pairs", "token_sort_ratio_pairs", "char_ngram_cosine", "address_sets_jaccard", "length_token_features")]
+    joined = tables[0]
+    for t in tables[1:]:
+        joined = joined.join(t, queries.PAIR)
+    measured = {tuple(r)[:2]: r for r in joined.collect()}
     assert set(measured) == pairs
     for (i, j), r in measured.items():
         (x, xa), (y, ya) = named[i], named[j]
