@@ -174,8 +174,8 @@ def fit(labelled: DataFrame) -> Network | None:
     take = max(1, min(ROWS, ALL_ROWS // len(counts)))
     draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
     # Somewhat more than are needed by chance, then by rank, so that no more than `take` reach the driver.
-    limits = rows.sparkSession.createDataFrame([(x, min(1 << 30, (1 << 30) * (2 * take + 20) // n + 1)) for x, n in counts.items()], "of string, most long")
-    some = rows.withColumn("draw", draw).join(limits, F.col("lang") == F.col("of")).filter("draw < most")
+    limits = F.create_map(*[F.lit(v) for x, n in counts.items() for v in (x, min(1 << 30, (1 << 30) * (2 * take + 20) // n + 1))])
+    some = rows.withColumn("draw", draw).filter(F.col("draw") < limits[F.col("lang")])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.col("doc_id").cast("string"), "text"))
     sample = some.withColumn("rank", rank).filter(F.col("rank") <= take).select("lang", "rank", "text").collect()
     languages = sorted(counts)
