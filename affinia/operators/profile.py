@@ -34,8 +34,9 @@ def describe(df: DataFrame, column: str, by: list[str] | None = None) -> DataFra
     """count, mean, std, min, max and interpolated percentiles, exact."""
     value = F.col(column).cast("double")
     aggs = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
-    aggs += [F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in PERCENTILES]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    aggs.append(F.percentile(value, F.array(*[F.lit(p / 100) for p in PERCENTILES])).alias("percentiles"))  # one count of values for all
+    rows = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    return rows.withColumns({f"p{p}": F.col("percentiles")[k] for k, p in enumerate(PERCENTILES)}).drop("percentiles")
 
 
 def group_statistics(df: DataFrame, by: list[str], column: str) -> DataFrame:
