@@ -152,21 +152,30 @@ def char_ngrams(text: Column, n: int) -> Column:
 
 
 def char_ngram_cosine(a: Column, b: Column, n: int) -> Column:
-    """Cosine of two texts' n-gram counts; 0 if one has no n-gram."""
+    """Cosine of two texts' n-gram counts; 0 if one has no n-gram. Both are sorted, so equal n-grams meet as neighbours."""
 
     def counts(grams: Column) -> Column:
         def listed(g: Column) -> Column:
-            return F.transform(F.array_distinct(g), lambda x: F.struct(x.alias("gram"), F.size(F.filter(g, lambda y: y == x)).alias("n")))
+            places = F.sequence(F.lit(0), F.size(g) - 1)
+            starts = F.filter(places, lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1)))
+            return F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.struct(F.get(g, i).alias("gram"), (F.coalesce(F.get(s, k + 1), F.size(g)) - i).cast("long").alias("n"))))[0]
 
-        return F.transform(F.array(grams), listed)[0]
+        return F.transform(F.array(F.array_sort(grams)), lambda g: F.when(F.size(g) > 0, listed(g)).otherwise(F.array().cast("array<struct<gram:string,n:bigint>>")))[0]
 
     def total(pairs: Column) -> Column:
         return F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: s + p["n"] * p["n"])
 
+    def product(merged: Column) -> Column:
+        def shared(s: Column, i: Column) -> Column:
+            p, q = F.get(merged, i), F.get(merged, i + 1)
+            return s + F.when(p["gram"] == q["gram"], p["n"] * q["n"]).otherwise(F.lit(0).cast("long"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(merged) - 2), F.lit(0).cast("long"), shared)
+
     def cosine(both: Column) -> Column:
         x, y = both["x"], both["y"]
-        product = F.aggregate(x, F.lit(0).cast("long"), lambda s, p: s + p["n"] * F.aggregate(y, F.lit(0).cast("long"), lambda t, q: t + F.when(q["gram"] == p["gram"], q["n"]).otherwise(0)))
-        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(product / (F.sqrt(total(x).cast("double")) * F.sqrt(total(y).cast("double"))))
+        dot = F.transform(F.array(F.array_sort(F.concat(x, y))), product)[0]
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(dot / (F.sqrt(total(x).cast("double")) * F.sqrt(total(y).cast("double"))))
 
     return F.transform(F.array(F.struct(counts(char_ngrams(a, n)).alias("x"), counts(char_ngrams(b, n)).alias("y"))), cosine)[0]
 
