@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from urllib.parse import quote, unquote
 
 import numpy as np
@@ -38,8 +39,8 @@ CONTROL = ("<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</
 OPEN, CLOSE = "<s>", "</s>"
 #: The role whose texts are learned, and the tokens after which a pack ends when it can, and how many times as many it may have.
 LEARNED, PACK_TOKENS, OVERLONG = "assistant", 1 << 16, 4
-#: Conversations tokenized in one call.
-TOGETHER = 100
+#: Characters after which conversations read so far are tokenized, in one call.
+TOGETHER = 1 << 20
 
 _breaks = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _back = re.compile(r"\\(\\?)")
@@ -50,7 +51,9 @@ PACK = f"ids array<int>, nodes array<{NODE}>, conversations array<struct<conv_id
 
 def escape(text: str) -> str:
     """The text with doubled backslashes, and a backslash after the first character of each control string."""
-    return _breaks.sub(lambda m: m[0] + "\\", text.replace("\\", "\\\\"))
+    if "\\" in text:
+        text = text.replace("\\", "\\\\")
+    return _breaks.sub(lambda m: m[0] + "\\", text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
@@ -133,9 +136,8 @@ def pack(conversations: DataFrame, tokenizer_file: str) -> DataFrame:
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, use = Tree(), codec(tokenizer_file)
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                some = [(i, [(t["role"], t["text"]) for t in turns]) for i, turns in zip(*(batch.column(c).slice(at, TOGETHER).to_pylist() for c in (0, 1)), strict=True)]
-                parts = {p: None for _, turns in some for role, text in turns for p in formatted_parts(role, text)}
+            for some in _groups(batch):
+                parts = {p: None for turn in {t: None for _, turns in some for t in turns} for p in formatted_parts(*turn)}
                 ids = dict(zip(parts, use.encode(list(parts)), strict=True))
                 for conv_id, turns in some:
                     long = max(tree.length, len(tree.conversations)) // PACK_TOKENS
@@ -150,6 +152,23 @@ def pack(conversations: DataFrame, tokenizer_file: str) -> DataFrame:
     return map_batches(ordered.select("conv_id", "turns"), packs, PACK)
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[list[tuple[int | None, list[tuple[str, str]]]]]:
+    """Conversations of a batch, as conv_id and turns, in groups of at least TOGETHER characters but for the last."""
+    conv_ids, turns = batch.column(0).to_pylist(), batch.column(1)
+    roles, texts = (turns.flatten().field(name) for name in ("role", "text"))
+    sizes = turns.value_lengths().to_numpy().tolist()
+    some, chars, at = [], 0, 0
+    for conv_id, n in zip(conv_ids, sizes, strict=True):
+        some.append((conv_id, list(zip(roles.slice(at, n).to_pylist(), texts.slice(at, n).to_pylist(), strict=True))))
+        at += n
+        chars += sum(len(text) for _, text in some[-1][1])
+        if chars >= TOGETHER:
+            yield some
+            some, chars = [], 0
+    if some:
+        yield some
+
+
 class Tree:
     """A pack under construction; conversations come in an order that keeps shared beginnings together."""
 
@@ -201,26 +220,48 @@ def position_ids(row: dict) -> list[int]:
 
 
 def conversations_of(row: dict, decode) -> Iterator[tuple[int | None, str, list[str]]]:
-    """From a pack: conv_id, the formatted conversation as its last turn attends to it, and the learned texts of it."""
+    """From a pack: conv_id, the formatted conversation as its last turn attends to it, and the learned texts of it.
+
+    Turns are tokenized apart, so each is decoded once, and intervals, which part the pack between turns, are cut from the text of all.
+    """
     ids, nodes = row["ids"], row["nodes"]
+    texts = [decode(ids[n["first"] : n["first"] + n["tokens"]]) for n in nodes]
+    whole = "".join(texts)
+    place = dict(zip([n["first"] for n in nodes] + [len(ids)], accumulate(map(len, texts), initial=0), strict=True))
+    said = [decode(ids[n["learn_first"] : n["learn_first"] + n["learn_tokens"]]) if n["learned"] else None for n in nodes]
     for c in row["conversations"]:
         learned: list[str] = []
         at = c["node"]
         attends = nodes[at]["attends"] if at >= 0 else []
         while at >= 0:
-            node = nodes[at]
-            if node["learned"]:
-                learned.append(decode(ids[node["learn_first"] : node["learn_first"] + node["learn_tokens"]]))
-            at = node["parent"]
-        yield c["conv_id"], decode([i for k in range(0, len(attends), 2) for i in ids[attends[k] : attends[k + 1]]]), learned[::-1]
+            if said[at] is not None:
+                learned.append(said[at])
+            at = nodes[at]["parent"]
+        yield c["conv_id"], "".join([whole[place[attends[k]] : place[attends[k + 1]]] for k in range(0, len(attends), 2)]), learned[::-1]
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Packs as Tree.row() gives them, one at a time; numbers leave their arrays together."""
+    for k in range(batch.num_rows):
+        ids, nodes, conversations = (batch.column(c).slice(k, 1).flatten() for c in ("ids", "nodes", "conversations"))
+        table = {f.name: column for f, column in zip(nodes.type, nodes.flatten(), strict=True)}
+        attends = table.pop("attends")
+        flat, size = attends.flatten().to_numpy().tolist(), attends.value_lengths().to_numpy().tolist()
+        ends = list(accumulate(size))
+        columns = [table[n].to_numpy(zero_copy_only=False).tolist() for n in table]
+        yield {
+            "ids": ids.to_numpy().tolist(),
+            "nodes": [dict(zip(table, values)) | {"attends": flat[end - n : end]} for *values, end, n in zip(*columns, ends, size, strict=True)],
+            "conversations": conversations.to_pylist(),
+        }
 
 
 def _digests(batches: Iterator[pa.RecordBatch], tokenizer_file: str) -> Iterator[pa.RecordBatch]:
     decode = codec(tokenizer_file).decode
     for batch in batches:
-        for k in range(batch.num_rows):
+        for row in _rows(batch):
             out: dict[str, list] = {n: [] for n in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
-            for conv_id, formatted, learned in conversations_of(batch.slice(k, 1).to_pylist()[0], decode):
+            for conv_id, formatted, learned in conversations_of(row, decode):
                 turns = parse(formatted)
                 loss = "".join(unescape(x) for x in learned)
                 said = "".join(f"{role}\n{text}\n" for role, text in turns)
