@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinia import storage
+
 SEED = 42
 #: Targets in a bucket of random negatives, and parts of a group that is sampled.
 BUCKET, PARTS = 64, 64
@@ -138,15 +140,36 @@ def hard_buckets() -> dict[str, Column]:
     }
 
 
+def leading(df: DataFrame, n: int, coarse: Column, order: list[Column]) -> DataFrame:
+    """The n first rows by ``order``; ``coarse`` ascends along it, has few values and no null.
+
+    Counts by coarse value show where the cut lies. Only rows that share it with the cut are ranked, so
+    no partition sends n rows to one task, as a sort with a limit does. df is read three times.
+    """
+    binned = df.withColumn("cut_bin", coarse)
+    counts = binned.groupBy("cut_bin").agg(F.count("*").alias("cut_rows"))
+    left = F.lit(n) - F.sum("cut_rows").over(Window.orderBy("cut_bin")) + F.col("cut_rows")
+    placed = binned.join(counts.withColumn("cut_left", left).filter("cut_left > 0"), "cut_bin")
+    whole = placed.filter("cut_left >= cut_rows")
+    rank = F.row_number().over(Window.partitionBy("cut_bin").orderBy(*order))
+    parted = placed.filter("cut_left < cut_rows").withColumn("cut_rank", rank).filter("cut_rank <= cut_left")
+    return whole.select(*df.columns).unionByName(parted.select(*df.columns))
+
+
 def hard_negative_dataset(features: DataFrame, hard: int = 40_000, total: int = 160_000, seed: int = SEED) -> DataFrame:
-    """All positives, the ``hard`` closest bucketed negatives, and others by lot up to ``total`` negatives; kind says which."""
+    """All positives, the ``hard`` closest bucketed negatives, and others by lot up to ``total`` negatives; kind says which.
+
+    The features are written to the shared folder first, so that each pair's are reckoned once.
+    """
+    features = storage.materialize(features, "features")
     bucket = F.coalesce(*[F.when(c, F.lit(k)) for k, c in hard_buckets().items()])
     negatives = features.filter("label = 0").withColumn("kind", bucket).withColumn("hard_score", hard_score())
     keys = ["entity_id", "target_entity_id"]
-    chosen = negatives.filter("kind is not null").orderBy(F.desc("hard_score"), *keys).limit(hard)
+    bucketed = negatives.filter("kind is not null")
+    chosen = leading(bucketed, hard, F.floor(F.coalesce("hard_score", F.lit(-1)) * -100), [F.desc("hard_score"), *map(F.col, keys)])
     rest = negatives.join(chosen.select(*keys), keys, "left_anti").withColumn("kind", F.lit("random"))
-    n = chosen.count()
-    filled = rest.orderBy(lot(*keys, seed=seed), *keys).limit(max(0, total - n))
+    drawn = lot(*keys, seed=seed)
+    filled = leading(rest, max(0, total - min(hard, bucketed.count())), F.substring(drawn, 1, 4), [drawn, *map(F.col, keys)])
     positives = features.filter("label = 1").withColumn("kind", F.lit("positive")).withColumn("hard_score", hard_score())
     return positives.unionByName(chosen).unionByName(filled)
 

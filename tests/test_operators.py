@@ -265,3 +265,14 @@ def test_whole_run(entities, truth):
     rule, result = linkage.linked(entities, truth, config=linkage.Config("ALL_V2", negatives=3))
     best, row = rule.first(), result.first()
     assert 0.55 <= best.threshold <= 0.85 and row.entities > 0 and 0 <= row.macro_f05 <= 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 100, 250, 300, 1000])
+def test_leading_rows_equal_a_sort_with_a_limit(spark, n):
+    """Scores tie often, one of them is null, and ids settle ties."""
+    rows = [(f"e{k:03d}", None if k % 50 == 7 else float(k * 7 % 11) + (k % 3) / 8, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "entity_id string, hard_score double, other long")
+    order = [F.desc("hard_score"), F.col("entity_id")]
+    got = pairs.leading(df, n, F.floor(F.coalesce("hard_score", F.lit(-1.0)) * -1), order)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.orderBy(*order).limit(n).collect()))
