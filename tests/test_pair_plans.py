@@ -19,6 +19,7 @@ NAMES = (
     "address_sets_jaccard",
     "best_rule",
     "blocking_intersections",
+    "classification_report",
 )
 
 
