@@ -23,6 +23,7 @@ NAMES = (
     "dedup_category_priority",
     "discovery_scores",
     "error_ranking",
+    "extra_features",
 )
 
 
