@@ -29,6 +29,7 @@ NAMES = (
     "intersect_except_ids",
     "length_token_features",
     "miss_diagnosis",
+    "similarity_categories",
 )
 
 
