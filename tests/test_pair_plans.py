@@ -30,6 +30,7 @@ NAMES = (
     "length_token_features",
     "miss_diagnosis",
     "similarity_categories",
+    "targeted_negatives",
 )
 
 
