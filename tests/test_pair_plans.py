@@ -31,6 +31,7 @@ NAMES = (
     "miss_diagnosis",
     "similarity_categories",
     "targeted_negatives",
+    "targeted_negatives_v2",
 )
 
 
