@@ -32,6 +32,7 @@ NAMES = (
     "similarity_categories",
     "targeted_negatives",
     "targeted_negatives_v2",
+    "targeted_negatives_v4",
 )
 
 
@@ -61,6 +62,11 @@ def test_ids_that_occur_twice_give_each_pair_once(spark):
     assert len(rows) == len(set(rows)) and set(rows) == set(queries._pairs(e).select(*PAIR).collect())
 
 
+def test_cuts_keep_all_that_can_be_first(spark):
+    rows = spark.createDataFrame([("a", None, c) for c in (3, 2, 2, 1)] + [("b", None, 1)], "source1_entity_id string, kind string, coarse int")
+    assert {r.source1_entity_id: r.cut for r in targets.cuts(rows, {None: 2}).collect()} == {"a": 2, "b": 1}
+
+
 def test_rule_search_by_counts_equals_the_sort_of_all_pairs(spark):
     e = R.entity_view(spark, SF)
     truth, scored = queries._truth(e), queries._scored_labelled(e).withColumnRenamed("label", "t").cache()
