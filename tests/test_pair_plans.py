@@ -33,6 +33,7 @@ NAMES = (
     "targeted_negatives",
     "targeted_negatives_v2",
     "targeted_negatives_v4",
+    "threshold_topk_search",
 )
 
 
