@@ -34,6 +34,7 @@ NAMES = (
     "targeted_negatives_v2",
     "targeted_negatives_v4",
     "threshold_topk_search",
+    "token_set_ratio_pairs",
 )
 
 
