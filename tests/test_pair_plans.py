@@ -2,13 +2,17 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from affinia import queries
+from affinia.functions.batches import Texts
 from affinia.operators import blocking, evaluate, features
 from affinia.operators import pairs as targets
+from affinia.operators.rows import Rows
 from affinia.sources import records as R
 
 SF = "/root/testdata/sf0.001"
@@ -86,7 +90,7 @@ def test_thinned_keeps_the_best(spark):
 
 
 #: Queries whose pairs are made and measured where the records are.
-MEASURED = ("address_features",)
+MEASURED = ("address_features", "base_features", "alternative_features", "address_sets_jaccard", "token_sort_ratio_pairs")
 
 
 @pytest.mark.parametrize("name", MEASURED)
@@ -120,3 +124,22 @@ def test_first_words_of_a_text_are_those_of_the_whole(spark, tmp_path):
     words = lambda t: re.sub(r"[\W_]+", " ", (t or "").replace("ß", "ss")).strip().split(" ")
     got = {int(r.entity_id.split("-")[1]): (r.business_name, r.business_address) for r in R.entity_view(spark, str(tmp_path)).collect()}
     assert got == {i: (" ".join(words(t)[:4]), " ".join(words(t)[4:14])) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("alternative", [False, True])
+def test_copies_give_all_their_features(spark, monkeypatch, alternative):
+    monkeypatch.setattr(blocking, "COPIES", 2)
+    monkeypatch.setattr(blocking, "UNIT", 50)
+    e = _copied(spark)
+    sides = features.prepared(blocking.with_keys(e, blocking.VARIANTS["ALL_V2"]), keep=("source", "block_country", *blocking.BLOCKS))
+    got = features.measured_features(sides, alternative)
+    _same_rows(got, queries._rounded((features.alternative_features if alternative else features.base_features)(queries._ids(e), e)))
+
+
+def test_a_text_pair_is_measured_once(monkeypatch):
+    table = pa.table({"name": ["ab c", "ab c", "x", "ab d", "ab d"]})
+    seen = []
+    measured = Texts.measured
+    monkeypatch.setattr(Texts, "measured", lambda self, i, j, *a: seen.append(len(i)) or measured(self, i, j, *a))
+    i, j = np.array([0, 0, 1, 1, 2, 2]), np.array([3, 4, 3, 4, 3, 4])
+    assert Rows(table).measured("name", i, j, ("ratio",))["ratio"].tolist() == [75.0] * 4 + [0.0] * 2 and seen == [2]
