@@ -90,7 +90,7 @@ def test_thinned_keeps_the_best(spark):
 
 
 #: Queries whose pairs are made and measured where the records are.
-MEASURED = ("address_features", "base_features", "alternative_features", "address_sets_jaccard", "token_sort_ratio_pairs")
+MEASURED = ("address_features", "base_features", "alternative_features", "address_sets_jaccard", "token_sort_ratio_pairs", "targeted_negatives", "targeted_negatives_v2", "discovery_scores", "hard_negative_zones")
 
 
 @pytest.mark.parametrize("name", MEASURED)
@@ -143,3 +143,28 @@ def test_a_text_pair_is_measured_once(monkeypatch):
     monkeypatch.setattr(Texts, "measured", lambda self, i, j, *a: seen.append(len(i)) or measured(self, i, j, *a))
     i, j = np.array([0, 0, 1, 1, 2, 2]), np.array([3, 4, 3, 4, 3, 4])
     assert Rows(table).measured("name", i, j, ("ratio",))["ratio"].tolist() == [75.0] * 4 + [0.0] * 2 and seen == [2]
+
+
+def test_errors_come_from_pairs_made_by_joint_keys(spark):
+    """Copies with other texts make more than fifty false positives with all four keys; records as they are make fewer."""
+    e = R.entity_view(spark, SF)
+    for rows in (e, _copied(spark).withColumn("text_key", F.concat("text_key", F.pmod(F.xxhash64("entity_id"), F.lit(2)).cast("string"))).withColumn("business_address", F.concat(F.lit("7 "), "business_address"))):
+        want = {tuple(r) for r in queries._scored_labelled(rows).filter("n_blocks >= 3").collect()}
+        keyed = blocking.with_keys(rows, blocking.VARIANTS["ALL_V2"])
+        c = ["source1_entity_id", "target_entity_id", "n_blocks", "label", "score"]
+        assert {tuple(r) for r in queries._close_labelled(keyed).select(*c).collect()} == want
+        assert {tuple(r) for r in queries._close_labelled(keyed, four=True).select(*c).collect()} == {w for w in want if w[2] == 4}
+        assert {tuple(r) for r in queries._true_scored(keyed).select(*c).collect()} == {tuple(r) for r in queries._scored_labelled(rows).filter("label = 1").collect()}
+
+
+def test_copies_count_in_rankings_and_zones(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "COPIES", 2)
+    e = _copied(spark)
+    monkeypatch.setattr(R, "entity_view", lambda *a: e)
+    similar = queries._similar(spark, SF, untrue=True)
+    keyed = blocking.with_keys(e, blocking.VARIANTS["ALL_V2"])
+    c = [*PAIR, "name_sim", "address_sim"]
+    _same_rows(features.near_untrue(keyed, 90, 80).select(*c), similar.filter("name_sim >= 90 or address_sim >= 80").select(*c))
+    best = targets.top_by_score(similar.select(*PAIR, F.round(F.col("name_sim") * 0.6 + F.col("address_sim") * 0.4, 6).alias("score")), 3)
+    _same_rows(targets.top_by_score(features.best_untrue(keyed, 3), 3), best)
+    _same_rows(targets.counted_zone_summary(features.counted_zones(keyed, targets.ZONES), ["country"]), targets.zone_summary(similar, ["country"]))
