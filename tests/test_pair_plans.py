@@ -90,7 +90,7 @@ def test_thinned_keeps_the_best(spark):
 
 
 #: Queries whose pairs are made and measured where the records are.
-MEASURED = ("address_features", "base_features", "alternative_features", "address_sets_jaccard", "token_sort_ratio_pairs", "targeted_negatives", "targeted_negatives_v2", "discovery_scores", "hard_negative_zones")
+MEASURED = ("address_features", "base_features", "alternative_features", "address_sets_jaccard", "token_sort_ratio_pairs", "targeted_negatives", "targeted_negatives_v2", "discovery_scores", "hard_negative_zones", "extra_features")
 
 
 @pytest.mark.parametrize("name", MEASURED)
